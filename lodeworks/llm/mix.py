@@ -9,11 +9,17 @@ small sources off their share by chance.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 65_536
+from lodeworks.common import cut
+
+BUCKETS = 4_096
 SEED = 42
 
 
@@ -48,25 +54,40 @@ def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def size_class(tokens: str = "n_tokens") -> Column:
+    """Documents of like size: the whole part of log2 of their tokens."""
+    return F.floor(F.log2(tokens)).cast("int")
+
+
+def _thresholds(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One mixture and source: largest size class first, each class making up for what the larger ones missed."""
+    pdf = pdf.sort_values(["size_class", "bucket"])
+    rate = float(pdf["rate"].iloc[0])
+    part, carry, out = rate - math.floor(rate), 0.0, []
+    for size, held in reversed(list(pdf.groupby("size_class"))):
+        drawn = np.concatenate([[0], np.cumsum(held["t"].to_numpy())])
+        borders = np.concatenate([[0], held["bucket"].to_numpy() + 1])
+        wanted = part * drawn[-1] + carry
+        k = int(np.argmin(np.abs(drawn - wanted)))
+        carry = wanted - drawn[k]
+        out.append((pdf["mix_name"].iloc[0], pdf["source"].iloc[0], int(size), int(borders[k])))
+    return pd.DataFrame(out, columns=["mix_name", "source", "size_class", "threshold"])
+
+
 def draw_thresholds(docs: DataFrame, rate: DataFrame, seed: int = SEED) -> DataFrame:
-    """rate with ``threshold``: documents whose bucket is below it get the extra copy.
+    """(mix_name, source, size_class, threshold): documents whose bucket is below it get the extra copy.
 
-    Per mixture and source the tokens of each of the 65,536 buckets are added up (with map-side combine, so
-    a hot source shrinks before the shuffle); the threshold is the bucket border at
-    which the drawn tokens come nearest to fraction x tokens.
+    Per mixture, source and size class the tokens of each of the ``BUCKETS`` buckets are added up, with
+    map-side combine, so a hot source shrinks before the shuffle to at most
+    64 x BUCKETS rows. A threshold is the bucket border at which the drawn tokens come nearest to
+    fraction x tokens.
     """
-    held = docs.join(rate.select("mix_name", "source"), "source").groupBy("mix_name", "source", draw("doc_id", "mix_name", seed).alias("bucket")).agg(F.sum("n_tokens").alias("t"))
-    run = W.partitionBy("mix_name", "source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    steps = held.withColumn("drawn", F.sum("t").over(run)).withColumn("border", F.col("bucket") + 1).select("mix_name", "source", "border", "drawn")
-    zero = rate.select("mix_name", "source", F.lit(0).alias("border"), F.lit(0).cast("bigint").alias("drawn"))
-    miss = F.abs(F.col("drawn") - (F.col("rate") - F.floor("rate")) * F.col("tokens"))
-    best = (
-        steps.unionByName(zero)
-        .join(rate.select("mix_name", "source", "rate", "tokens"), ["mix_name", "source"])
-        .groupBy("mix_name", "source")
-        .agg(F.min_by("border", F.struct(miss, F.col("border"))).alias("threshold"))
+    held = (
+        docs.join(rate.select("mix_name", "source", "rate"), "source")
+        .groupBy("mix_name", "source", "rate", size_class().alias("size_class"), draw("doc_id", "mix_name", seed).alias("bucket"))
+        .agg(F.sum("n_tokens").alias("t"))
     )
-    return rate.join(best, ["mix_name", "source"])
+    return held.groupBy("mix_name", "source").applyInPandas(_thresholds, "mix_name string, source string, size_class int, threshold int")
 
 
 def mixture(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -79,11 +100,13 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[Data
     """
     docs = docs.where("n_tokens > 0 and source is not null")
     sizes = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
-    plan = draw_thresholds(docs, rates(sizes, targets), seed)
-    use = plan.select("mix_name", "source", "rate", "threshold")
+    plan = cut(rates(sizes, targets))
+    limits = draw_thresholds(docs, plan, seed)
+    use = plan.select("mix_name", "source", "rate").join(limits, ["mix_name", "source"])
     copies = F.floor("rate").cast("int") + F.when(draw("doc_id", "mix_name", seed) < F.col("threshold"), 1).otherwise(0)
     rows = (
-        docs.join(use, "source")
+        docs.withColumn("size_class", size_class())
+        .join(use, ["source", "size_class"])
         .withColumn("copies", copies)
         .where("copies > 0")
         .select("mix_name", "doc_id", "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), "n_tokens")
