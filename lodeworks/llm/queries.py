@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.common import counting_rows, cut, micros_of, table
-from lodeworks.llm import encode, mix, neighbours, split
+from lodeworks.llm import encode, funcdocs, mix, neighbours, split
 
 
 def counting_chunks(spark: SparkSession, sf: str, only_long: int | None = None) -> DataFrame:
@@ -31,6 +31,16 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_pieces(spark, sf).where("chunk_index = 1").select("chunk_id")
 
 
+def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Code-description pairs with their exact lines."""
+    chunks = counting_chunks(spark, sf)
+    return funcdocs.code_pairs(chunks, "chunk_id", "file_path", "symbol_name", "symbol_kind", "docstring", "text").withColumnRenamed("key", "chunk_id")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_pairs(spark, sf).select("chunk_id", "symbol_name").distinct()
+
+
 def guard_vectors(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "index_guard")
     return counting_rows(rows, "id", micros_of(rows, "indexed_at"), vector=F.col("vector"))
@@ -66,6 +76,8 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
     "p6_found": p6_found,
     "p6_nearest": p6_nearest,
     "p7_ids": p7_ids,
