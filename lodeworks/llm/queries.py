@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.common import counting_rows, cut, micros_of, table
-from lodeworks.llm import encode, funcdocs, mix, neighbours, split
+from lodeworks.llm import encode, funcdocs, generated, mix, neighbours, split
 
 
 def counting_chunks(spark: SparkSession, sf: str, only_long: int | None = None) -> DataFrame:
@@ -41,6 +41,25 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_pairs(spark, sf).select("chunk_id", "symbol_name").distinct()
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of index_guard that nobody wrote by hand. Features are taken before the counting rows are, so no text is shuffled."""
+    rows = table(spark, sf, "index_guard")
+    is_file = F.coalesce(F.lower(F.trim("hierarchy_level")) == "file", F.lit(False))
+    key = F.struct("id", micros_of(rows, "indexed_at").alias("at"), is_file.alias("is_file"))
+    slim = rows.select(key.alias("key"), "file_path", F.when(is_file, F.col("text_full")).alias("text_full"))
+    seen = generated.describe(slim, "key", "file_path", "text_full")
+    latest = counting_rows(seen.select(F.col("key.id").alias("id"), F.col("key.at").alias("at"), F.struct(*seen.columns).alias("r")), "id", F.col("at"), r=F.col("r"))
+    return generated.not_written_by_hand(latest.select("r.*").where("key.is_file and file_path is not null"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf).select("file_path").distinct()
+
+
+def p5_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf).select("file_path", F.round("score", 3).alias("score"), "reason")
+
+
 def guard_vectors(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "index_guard")
     return counting_rows(rows, "id", micros_of(rows, "indexed_at"), vector=F.col("vector"))
@@ -78,6 +97,8 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
+    "p5_found": p5_found,
+    "p5_reasons": p5_reasons,
     "p6_found": p6_found,
     "p6_nearest": p6_nearest,
     "p7_ids": p7_ids,
