@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.common import counting_rows, cut, micros_of, table
-from lodeworks.llm import encode, funcdocs, generated, mix, neighbours, split
+from lodeworks.llm import encode, funcdocs, generated, langid, mix, neighbours, split
 
 
 def counting_chunks(spark: SparkSession, sf: str, only_long: int | None = None) -> DataFrame:
@@ -92,6 +92,25 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix.shares(*_mixture(spark, sf))
 
 
+def _languages(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return langid.languages(docs, "doc_id", "text", "lang", langid.fit(docs, "doc_id", "text", "lang"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.mislabelled(_languages(spark, sf)).withColumnRenamed("key", "doc_id")
+
+
+def p9_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.document_language(_languages(spark, sf)).withColumnRenamed("key", "doc_id")
+
+
+def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches of every document in order, as code point ranges."""
+    at = _languages(spark, sf).select(F.col("key").alias("doc_id"), F.posexplode("segments").alias("segment", "s"))
+    return at.select("doc_id", "segment", F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"), F.col("s.lang").alias("lang"), F.round("s.confidence", 4).alias("confidence"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -104,6 +123,9 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_documents": p9_documents,
+    "p9_segments": p9_segments,
 }
 
 _INSTANT = """epoch_us(CASE WHEN regexp_matches(trim({c}), '([zZ]|[+-][0-9]{{2}}:?[0-9]{{2}})$') AND length(trim({c})) > 10
