@@ -306,7 +306,11 @@ def claim_anchors(notes: DataFrame, key: str, text: str) -> DataFrame:
         "env": r"\b([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)\b",
         "package": r"\b(?:pip install|npm install|cargo add|go get)\s+([A-Za-z0-9_.@/-]+)",
     }
-    parts = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda a, k=k: F.struct(F.lit(k).alias("kind"), a.alias("anchor"))) for k, p in kinds.items()]
+
+    def of(kind: str):
+        return lambda a: F.struct(F.lit(kind).alias("kind"), a.alias("anchor"))
+
+    parts = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), of(k)) for k, p in kinds.items()]
     return notes.where(F.col(text).isNotNull()).select(key, F.explode(F.concat(*parts)).alias("a")).select(key, "a.kind", "a.anchor").distinct()
 
 

@@ -28,11 +28,20 @@ def words(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda w: w != "")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once per row: inside a lambda it would be computed for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shingle_set(text: str | Column, n: int = 5) -> Column:
     """Distinct hashes of all runs of ``n`` words; a shorter text is one run."""
-    w = words(text)
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")))
-    return F.when(F.size(w) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
+        each = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")))
+        return F.when(F.size(w) > 0, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
+    return once(words(text), runs)
 
 
 def normalised_tokens(text: str | Column, keywords: str = "def class return if else elif for while in not and or import from try except finally with as pass break continue lambda yield raise async await function func fn let var const new this self true false null none") -> Column:
@@ -46,9 +55,11 @@ def normalised_tokens(text: str | Column, keywords: str = "def class return if e
 
 def multiset(tokens: Column) -> Column:
     """A bag as a set: the k-th occurrence of a token is its own feature, so Jaccard counts min over max."""
-    distinct = F.array_distinct(tokens)
-    each = F.transform(distinct, lambda t: F.transform(F.sequence(F.lit(1), F.size(F.filter(tokens, lambda x: x == t))), lambda k: F.xxhash64(t, k)))
-    return F.flatten(each)
+
+    def bag(t: Column) -> Column:
+        return F.flatten(F.transform(F.array_distinct(t), lambda x: F.transform(F.sequence(F.lit(1), F.size(F.filter(t, lambda y: y == x))), lambda k: F.xxhash64(x, k))))
+
+    return once(tokens, bag)
 
 
 def similarity_join(sets: DataFrame, key: str, features: str, threshold: float) -> DataFrame:

@@ -30,10 +30,10 @@ def idle_split(events: DataFrame, group: str, ts: str, key: str, limit: float) -
     return at.groupBy(group).agg(F.round(F.sum(F.when(F.col("idle") < limit, F.col("idle")).otherwise(0.0)), 6).alias("active"), F.round(F.sum(F.when(F.col("idle") >= limit, F.col("idle")).otherwise(0.0)), 6).alias("idle"))
 
 
-def running_mean(events: DataFrame, group: str, ts: str, key: str, value: str) -> DataFrame:
+def running_mean(events: DataFrame, group: str, ts: str, key: str, value: str, digits: int = 6) -> DataFrame:
     """Mean of the values so far per group."""
     w = W.partitionBy(group).orderBy(ts, key).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return events.withColumn("mean", F.round(F.avg(value).over(w), 6))
+    return events.withColumn("mean", F.round(F.avg(value).over(w), digits))
 
 
 def last_n(events: DataFrame, group: str, ts: str, key: str, n: int) -> DataFrame:
@@ -86,10 +86,10 @@ def eta_similar(jobs: DataFrame, wanted: DataFrame, floor: float = 5.0) -> DataF
     return last.join(near, "size", "left").select("size", F.round(F.greatest(F.lit(floor), F.coalesce("a", "b")), 6).alias("eta"))
 
 
-def eta_blend(jobs: DataFrame, group: str, ts: str, key: str, value: str, last: int = 10, weight: float = 0.3) -> DataFrame:
+def eta_blend(jobs: DataFrame, group: str, ts: str, key: str, value: str, last: int = 10, weight: float = 0.3, digits: int = 6) -> DataFrame:
     """Estimate after each job: ``weight`` of it and the rest of the mean of the last ones."""
     w = W.partitionBy(group).orderBy(ts, key).rowsBetween(-(last - 1), 0)
-    return jobs.withColumn("eta", F.round(weight * F.col(value) + (1 - weight) * F.avg(value).over(w), 6))
+    return jobs.withColumn("eta", F.round(weight * F.col(value) + (1 - weight) * F.avg(value).over(w), digits))
 
 
 def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -13,7 +13,7 @@ PAGERANK_ROUNDS = 20
 
 CYPHER = {
     "cypher_one_hop": "MATCH (a:Function)-[:CALLS]->(b:Function) RETURN b.file_path AS file, count(*) AS calls, count(DISTINCT a.name) AS callers",
-    "cypher_optional": "MATCH (a:Method) OPTIONAL MATCH (a)-[:USAGE]->(v:Variable) RETURN a.id AS method, v.id AS variable",
+    "cypher_optional": "MATCH (a:Method) OPTIONAL MATCH (a)-[:USAGE]->(v:Variable) RETURN a.id AS method, v.qualified_name AS variable",
     "cypher_exists": "MATCH (a:Function) WHERE NOT EXISTS { (b)-[:CALLS]->(a) } AND EXISTS { (a)-[:CALLS]->(c) } RETURN a.id AS id, a.name AS name",
     "cypher_undirected": "MATCH (a:Class)-[:IMPORTS]-(b) WHERE b.label <> 'x' RETURN a.id AS class, count(*) AS links",
     "cypher_logic": "MATCH (f:Function) WHERE f.name STARTS WITH 'merge' OR (f.name CONTAINS 'rank' AND NOT (f.file_path CONTAINS '/tests/' OR f.file_path IS NULL)) RETURN f.id AS id",
@@ -188,7 +188,7 @@ def _pagerank_sql(rounds: int) -> str:
 ORACLES = {
     "cypher_one_hop": f"""WITH {_G} SELECT b.file_path AS file, count(*) AS calls, count(DISTINCT a.name) AS callers FROM n a JOIN e ON e.source_id = a.id JOIN n b ON b.id = e.target_id
         WHERE e.type = 'CALLS' AND lower(a.label) = 'function' AND lower(b.label) = 'function' GROUP BY b.file_path""",
-    "cypher_optional": f"""WITH {_G} SELECT a.id AS method, x.id AS variable FROM n a LEFT JOIN (SELECT e.source_id, v.id FROM e JOIN n v ON v.id = e.target_id WHERE e.type = 'USAGE' AND lower(v.label) = 'variable') x ON x.source_id = a.id
+    "cypher_optional": f"""WITH {_G} SELECT a.id AS method, x.q AS variable FROM n a LEFT JOIN (SELECT e.source_id, v.qualified_name AS q FROM e JOIN n v ON v.id = e.target_id WHERE e.type = 'USAGE' AND lower(v.label) = 'variable') x ON x.source_id = a.id
         WHERE lower(a.label) = 'method'""",
     "cypher_exists": f"""WITH {_G} SELECT id, name FROM n a WHERE lower(label) = 'function'
         AND NOT EXISTS (SELECT 1 FROM e JOIN n b ON b.id = e.source_id WHERE e.type = 'CALLS' AND e.target_id = a.id) AND EXISTS (SELECT 1 FROM e JOIN n c ON c.id = e.target_id WHERE e.type = 'CALLS' AND e.source_id = a.id)""",
