@@ -151,26 +151,29 @@ def pagerank(pairs: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     return ranks.select("node", (F.col("rank") / F.lit(top)).alias("rank"))
 
 
-def communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(pairs: DataFrame, rounds: int = 20) -> DataFrame:
     """(node, community) by weighted label propagation, deterministic.
 
-    pairs: (a, b, weight), undirected, each once. Every round a node takes the label
-    of the highest total weight among its neighbours and itself, ties to the smallest; labels
-    are node ids. Stops when nothing moves.
+    pairs: (a, b, weight), undirected, each once. A node takes the label of the highest total
+    weight among its neighbours, ties to the smallest; labels are node ids. Every round a hash
+    lets half of the nodes move, so two neighbours do not swap labels for ever. Stops when no node would move.
     """
     w = pairs.where("a is not null and b is not null and a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("w"))
     both = cut(w.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").union(w.select("b", "a", "w")))
     labels = cut(both.select("node").distinct().select("node", F.col("node").alias("label")))
-    for _ in range(rounds):
-        votes = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("w").alias("w"))
-        own = labels.select("node", "label", F.lit(1e-6).alias("w"))
-        total = votes.unionByName(own).groupBy("node", "label").agg(F.round(F.sum("w"), 9).alias("w"))
-        best = total.groupBy("node").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label"))
-        new = cut(best)
-        moved = new.join(labels.select("node", F.col("label").alias("was")), "node").where("label <> was").count()
+    for r in range(rounds):
+        votes = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.round(F.sum("w"), 9).alias("w"))
+        best = votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("best"), F.max("w").alias("top"))
+        own = labels.join(votes.withColumnRenamed("w", "held"), ["node", "label"], "left")
+        # a label as strong as any other is kept
+        moves = F.coalesce(F.col("held"), F.lit(0.0)) < F.col("top")
+        active = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
+        step = own.join(best, "node").select("node", moves.alias("moves"), F.when(moves & active, F.col("best")).otherwise(F.col("label")).alias("label"))
+        new = cut(step)
+        moving = new.where("moves").limit(1).count()
         drop_cut(labels)
         labels = new
-        if moved == 0:
+        if moving == 0:
             break
     return labels.select("node", F.col("label").alias("community"))
 
