@@ -148,7 +148,7 @@ def significance(commits: DataFrame, gate: float = 0.4) -> DataFrame:
     """(hash, score) of commits at or above the gate: size, words, hot files, a body."""
     hot = file_risk(commits).where("total >= 3").select("file")
     touches = commit_files(commits).join(hot, "file", "left_semi").select("hash").distinct().withColumn("hot", F.lit(0.2))
-    size = F.size(F.coalesce("files", F.array()))
+    size = F.size(F.array_distinct(F.coalesce("files", F.array().cast("array<string>"))))
     word = _any(F.concat_ws(" ", "message", "body"), SIGNIFICANT_WORDS)
     score = F.when(size >= 5, 0.35).when(size >= 3, 0.25).when(size >= 1, 0.1).otherwise(0.0) + F.when(word, 0.3).otherwise(0.0) + F.when(F.coalesce("body", F.lit("")) != "", 0.1).otherwise(0.0)
     out = commits.select("hash", score.alias("s")).join(touches, "hash", "left")

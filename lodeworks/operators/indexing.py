@@ -63,19 +63,25 @@ def ignored(path: str, patterns: list[str]) -> Column:
     return F.col(path).rlike("|".join(f"(?:{r})" for r in regexes)) if regexes else F.lit(False)
 
 
+#: Upper half of Latin-1 and what Windows-1251 has there; 0x98 is not defined and left out.
+_UPPER = bytes(b for b in range(0x80, 0x100) if b != 0x98)
+_WINDOWS_1251 = (_UPPER.decode("latin-1"), _UPPER.decode("cp1251"))
+
+
 def decoded(content: str) -> Column:
     """Text of bytes: by byte order mark, else UTF-8, else Windows-1251 where it has Cyrillic letters, else Latin-1."""
     c = F.col(content)
     h = F.hex(F.substring(c, 1, 3))
     utf8 = F.try_validate_utf8(c.cast("string"))
-    cyr = F.decode(c, "windows-1251")
+    latin = F.decode(c, "ISO-8859-1")
+    cyr = F.translate(latin, *_WINDOWS_1251)
     return (
         F.when(h == "EFBBBF", F.expr(f"decode(substring({content}, 4), 'UTF-8')"))
         .when(F.startswith(h, F.lit("FFFE")), F.decode(c, "UTF-16"))
         .when(F.startswith(h, F.lit("FEFF")), F.decode(c, "UTF-16"))
         .when(utf8.isNotNull(), utf8)
         .when(cyr.rlike(r"[А-Яа-яЁё]{2}"), cyr)
-        .otherwise(F.decode(c, "ISO-8859-1"))
+        .otherwise(latin)
     )
 
 

@@ -11,13 +11,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 
-def debounce_sessions(events: DataFrame, ts: str, path: str, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """(start, end, files, n): bursts of changes that a quiet gap ends."""
+def debounce_sessions(events: DataFrame, ts: str, project: str, path: str, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
+    """(project, start, end, files, n): bursts of changes in a project that a quiet gap ends."""
     return (
         events.withWatermark(ts, late)
-        .groupBy(F.session_window(ts, gap).alias("w"))
+        .groupBy(F.session_window(ts, gap).alias("w"), F.col(project).alias("project"))
         .agg(F.array_sort(F.collect_set(path)).alias("files"), F.count("*").alias("n"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "files", "n")
+        .select("project", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "files", "n")
     )
 
 
