@@ -71,7 +71,7 @@ _HEADER = {
         rf"""(?:^|(?<=[;}}]))[ \t]*(?:
           (?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*(?P<f>{_ID})\s*(?:<[^(){{}}]*>\s*)?(?=\()
         | (?:export\s+)?(?:const|let|var)\s+(?P<v>{_ID})\s*(?::[^=;\n]+)?=\s*(?:async\s*)?(?:function\b\s*\*?\s*(?:{_ID})?\s*(?=\()|(?:{_ID})\s*=>|(?=\((?:[^()]|\([^()]*\))*\)\s*(?::[^=;{{}}]+)?=>))
-        | (?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*\*?\s*\#?(?P<m>{_ID})\s*(?:<[^(){{}};]*>\s*)?(?=\()
+        | (?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*(?:\*[ \t]*)?\#?(?P<m>{_ID})\s*(?:<[^(){{}};]*>\s*)?(?=\()
         )""",
         re.M | re.X,
     ),
@@ -89,20 +89,21 @@ _OPEN, _CLOSE = "([{", ")]}"
 def _brackets(masked: str) -> dict[int, int]:
     """Position of each opening bracket to that of its closing one; unclosed ones end with the text."""
     pairs, stack = {}, []
+    left = dict.fromkeys(_OPEN, 0)
     for m in re.finditer(r"[()\[\]{}]", masked):
         c = m.group()
         if c in _OPEN:
             stack.append(m.start())
-        else:
-            want = _OPEN[_CLOSE.index(c)]
-            # a stray closing bracket of a cut fragment closes nothing
-            for k in range(len(stack) - 1, -1, -1):
-                if masked[stack[k]] == want:
-                    for p in stack[k + 1 :]:
-                        pairs[p] = m.start()
-                    pairs[stack[k]] = m.start()
-                    del stack[k:]
-                    break
+            left[c] += 1
+            continue
+        want = _OPEN[_CLOSE.index(c)]
+        # a stray closing bracket of a cut fragment closes nothing; a real one closes all that stand open inside
+        while left[want]:
+            p = stack.pop()
+            pairs[p] = m.start()
+            left[masked[p]] -= 1
+            if masked[p] == want:
+                break
     for p in stack:
         pairs[p] = len(masked)
     return pairs
@@ -121,8 +122,10 @@ class _Comments:
     def above(self, start: int) -> str:
         """The comment directly above the line of ``start``; annotations may stand between."""
         text = self.text
-        at = text.rfind("\n", 0, start) + 1
-        if text[at:start].strip():
+        at = start
+        while at > 0 and text[at - 1] in " \t":
+            at -= 1
+        if at > 0 and text[at - 1] != "\n":
             return ""  # something else stands before it on its line
         got: list[str] = []
         while at > 0:
@@ -144,8 +147,6 @@ class _Comments:
                 at = own
             elif line.strip() and _ANNOTATION.match(line) and not got:
                 at = prev
-            elif not line.strip() and not got and False:
-                at = prev
             else:
                 break
         return "\n".join(got)

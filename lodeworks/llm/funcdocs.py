@@ -40,7 +40,7 @@ _EMPTY_PROMISE = re.compile(
 )
 _CODE = re.compile(
     r"^\s*(?:(?:let|var|const|return|import|from|package|use|mut|final|auto|int|String|else|elif|if|for|while|switch|print|await|async|func|def|fn)\b.*[;:{}()=]\s*$"
-    r"|[\w.\[\]()<>&*]+(?:\s*,\s*[\w.\[\]]+)*\s*(?::=|[-+*/|&]?=(?!=))\s*\S.*|[\w.]+(?:\.\w+)*\([^)]*\)\s*[;{]?\s*|.*[;{}]\s*|[)}\]]+;?\s*)$"
+    r"|[\w.\[\]()<>&*]+(?:\s*,\s*[\w.\[\]]+)*\s*(?::=|[-+*/|&]?=(?!=))\s*\S.*|[\w.]+\([^)]*\)\s*[;{]?\s*|.*[;{}]\s*|[)}\]]+;?\s*)$"
 )
 _WORD = re.compile(r"[^\W\d_][\w’'-]*")
 _CJK = re.compile(r"[㐀-鿿豈-﫿]")
@@ -61,7 +61,8 @@ def plain(doc: str | None) -> str:
     lines = []
     for line in text.split("\n"):
         bare = _MARK.sub("", line, count=1) if raw else line
-        lines.append(re.sub(r"\s*\*+/\s*$", "", bare).rstrip())
+        bare = bare.rstrip()
+        lines.append(bare[:-1].rstrip("*").rstrip() if bare.endswith("*/") else bare)
     indents = [len(x) - len(x.lstrip()) for x in lines[1:] if x.strip()]
     cut = min(indents, default=0)
     return "\n".join([lines[0].strip(), *(x[cut:] for x in lines[1:])]).strip()

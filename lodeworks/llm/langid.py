@@ -48,16 +48,16 @@ _EXT = r"(?:py|pyi|js|jsx|ts|tsx|mjs|go|rs|java|kt|c|h|cc|cpp|hpp|cs|rb|php|sh|b
 _MASK = re.compile(
     rf"""(?P<fence>^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t\r]*$|\Z))
     | (?P<log>^[ \t]*\[?\d{{4}}-\d\d-\d\d[T ]\d\d:\d\d\S*\]?[ \t]+\[?(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL|FATAL)\b[^\n]*$)
-    | (?P<line>^[^\n]*[;{{}}][ \t\r]*$|^[ \t]*(?:def|class|func|fn|return|import|from|package|use|let|var|const|if|elif|else|for|while|with|try|except|catch|switch|assert|raise|async|await|pub|public|private|protected|static|export|@\w+)\b[^\n]*(?:[()\[\]{{}}=]|::|->)[^\n]*[:)\]]?[ \t\r]*$(?<![.!?。]))
+    | (?P<line>^[^\n]*[;{{}}][ \t\r]*$|^[ \t]*(?:def|class|func|fn|return|import|from|package|use|let|var|const|if|elif|else|for|while|with|try|except|catch|switch|assert|raise|async|await|pub|public|private|protected|static|export|@\w+)\b(?=[^\n]*(?:[()\[\]{{}}=]|::|->))[^\n]*$(?<![.!?。]))
     | (?P<assign>^[ \t]*(?:(?:let|var|const|mut|auto|final|self\.|this\.)[ \t]*)*[\w.]+(?:\[[^\]\n]*\])?(?:[ \t]*,[ \t]*[\w.]+)*[ \t]*(?::[ \t]*[\w<>\[\], ]+)?[ \t]*(?::=|[-+*/|&^%]?=)(?!=)[^\n]*$)
     | (?P<call>^[ \t]*(?:await[ \t]+)?[\w.:]+!?\([^\n]*$(?<![.!?。])) | (?P<flow>^[ \t]*(?:return|if|elif|else|for|while|with|try|except|catch|finally|case|switch|match|do|end|raise|throw|assert|pass|break|continue)\b(?:[^\n.!?。]*:|[ \t]*[\w.\[\]()]*)[ \t\r]*$)
     | `[^`\n]*` | \b(?:https?|ftp|file|git|ssh)://\S+ | \bwww\.\S+ | <[/!]?[A-Za-z][^<>\n]{{0,200}}> | (?<=\])\([^()\s]*\) | &\#?\w+;
-    | \S+@\S+\.\w+ | (?<![\w.])[\w./\\-]*[\w-]\.{_EXT}(?::\d+)*\b | \b\w*_\w*\b | \b[a-z]+[A-Z]\w*\b | \b[A-Z][a-z0-9]+[A-Z]\w*\b | \b\w+=\S+ | \b\w*\d(?:[\w.]*\w)? | --?[a-z][\w-]*
+    | (?<![\w.+-])[\w.+-]{{1,64}}@[\w.-]{{1,255}} | (?<![\w./\\-])[\w./\\-]*[\w-]\.{_EXT}(?::\d+)*\b | \b\w*_\w*\b | \b[a-z]+[A-Z]\w*\b | \b[A-Z][a-z0-9]+[A-Z]\w*\b | \b\w+=\S+ | \b\w*\d(?:[\w.]*\w)? | --?[a-z][\w-]*
     | «[^«»\n]{{1,40}}» | „[^„“”\n]{{1,40}}[“”] | “[^“”\n]{{1,40}}” | "[^"\n]{{1,40}}" | 「[^「」\n]{{1,40}}」 | ‘[^‘’\n]{{1,40}}’
     """,
     re.X | re.M | re.S,
 )
-_BREAK = re.compile(r"[.!?…]+[\"'”»)\]]*(?=\s|$)|[。！？][”」』）)]*|\n[^\S\n]*\n|\n(?=[ \t]*(?:[-*+>#|•]|\d+[.)]|\[))|\|")
+_BREAK = re.compile(r"(?<![.!?…])[.!?…]+[\"'”»)\]]*(?=\s|$)|[。！？][”」』）)]*|\n[^\S\n]*\n|\n(?=[ \t]*(?:[-*+>#|•]|\d+[.)]|\[))|\|")
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ-][^\W\d_]+)*")
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 
@@ -320,10 +320,17 @@ def train(labelled: list[tuple[str, str]]) -> LanguageModel:
             held_texts[f"{lang}-latn"] = [romanised(t, k % len(_ROMAN), lang == "uk") for k, t in enumerate(held_texts[lang])]
         held = {m: list(scorer.entropies(texts)[0][:, i]) for i, (m, texts) in enumerate(held_texts.items())}
     # Typing errors and lost letters cost bits; what is beyond twice the usual is no sentence of the language.
+    halves = _trained({lang: texts[::2] for lang, texts in seeds.items()})
     limits = []
-    for m in MODELS:
+    for i, m in enumerate(MODELS):
         own = np.array(held[m])
-        limits.append(min(4.2, max(2.6, own.mean() * 1.6 + 0.6, own.max() + 0.3)) if len(own) >= 5 else 3.6)
+        if len(own) >= 20:
+            limits.append(min(4.2, max(3.0, own.mean() * 1.6 + 0.6, own.max() + 0.3)))
+        else:
+            # too few to calibrate by: what half of the seeds makes of the other half
+            rest = seeds[m[:2]][1::2]
+            rest = [romanised(t, 0, m == "uk-latn") for t in rest] if "-" in m else rest
+            limits.append(float(halves.entropies(rest)[0][:, i].max()) + 0.2)
     return LanguageModel(scorer, np.array(limits), 0.5)
 
 

@@ -193,7 +193,7 @@ def brute_force(ids: list[str], vectors: list, k: int = 5, least: float = 0.9, d
     names = [i for i, _ in good]
     out = set()
     for i, row in enumerate(x):
-        cos = x @ row
+        cos = (x * row).sum(axis=1)  # the order of summation must not depend on the row's place
         cos[i] = -2
         top = heapq.nsmallest(k, np.nonzero(cos >= least)[0], key=lambda j: (-cos[j], names[j]))
         out.update(starmap(lambda a, b: (min(a, b), max(a, b)), ((names[i], names[j]) for j in top)))

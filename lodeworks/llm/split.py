@@ -28,7 +28,7 @@ _DEFINITION = re.compile(
 )
 _SENTENCE_END = re.compile(r"[.!?…][\"'”»)\]]*[ \t]+(?=\S)|[。！？；]+[”」』）]*")
 _CLAUSE_END = re.compile(r"[,;:][ \t]+|[，、：]|[)}\]]\s+|[;{}](?=\S)")
-_WORD_END = re.compile(r"\s+(?=\S)")
+_WORD_END = re.compile(r"(?<!\s)\s+(?=\S)")
 _LINE_END = re.compile(r"\r\n|\n|\r")
 _BLANK_LINE = re.compile(r"(?:(?:\r\n|\n|\r)[ \t]*){2,}")
 
