@@ -136,7 +136,7 @@ def project_cycles(spark: SparkSession, sf: str) -> DataFrame:
 def call_resolution(spark: SparkSession, sf: str) -> DataFrame:
     n = live_nodes(spark, sf)
     calls = n.where("name <> ''").select(F.col("id").alias("call_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("self."), "name")).when(F.col("id") % 7 == 0, F.concat("name", F.lit("_gone"))).otherwise(F.col("name")).alias("callee"))
-    return gr.resolve_calls(calls, n)
+    return gr.resolve_calls(calls, n).withColumn("target_id", F.coalesce("target_id", F.lit(-1)))
 
 
 def claim_verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,3 +227,34 @@ ORACLES = {
         s AS (SELECT DISTINCT parent AS id FROM m ORDER BY parent LIMIT 20), w AS (SELECT id AS node, 0 AS depth FROM s UNION SELECT m.id, w.depth + 1 FROM w JOIN m ON m.parent = w.node WHERE w.depth < 60)
         SELECT node AS node_id, min(depth) AS depth FROM w WHERE node NOT IN (SELECT id FROM s) GROUP BY node""",
 }
+
+_WALK = """{a} AS (SELECT start, start AS node, 0 AS d FROM starts UNION SELECT w.start, e.{to}, w.d + 1 FROM {a} w JOIN e ON e.{of} = w.node WHERE e.type = '{kind}' AND w.d < {depth}),
+  {a}r AS (SELECT start, node, min(d) AS depth FROM {a} GROUP BY ALL HAVING min(d) > 0)"""
+
+ORACLES |= {
+    "data_flow": f"""WITH RECURSIVE {EDGES_SQL}, starts AS (SELECT source_id AS start FROM e WHERE type = 'ASSIGNED_FROM' GROUP BY source_id ORDER BY count(*) DESC, source_id LIMIT 10),
+        {_WALK.format(a="u", to="target_id", of="source_id", kind="ASSIGNED_FROM", depth=3)}, {_WALK.format(a="v", to="source_id", of="target_id", kind="ASSIGNED_FROM", depth=3)}
+        SELECT start, node, depth, 'from' AS way FROM ur UNION ALL SELECT start, node, depth, 'to' FROM vr""",
+    "impact_risk": f"""WITH RECURSIVE {_G}, {_STARTS.format(n=5)}, {_WALK.format(a="u", to="source_id", of="target_id", kind="CALLS", depth=2)}, {_WALK.format(a="v", to="target_id", of="source_id", kind="CALLS", depth=2)},
+        f AS (SELECT ur.start, ur.depth, replace(coalesce(n.file_path, ''), chr(92), '/') AS file FROM ur LEFT JOIN n ON n.id = ur.node),
+        m AS (SELECT *, list_filter(list_reverse(string_split(file, '/'))[2:], lambda p: p <> '' AND p <> 'src' AND NOT contains(p, '.') AND NOT contains(p, ':'))[1] AS module FROM f),
+        a AS (SELECT start, count(*) FILTER (depth = 1) AS direct_callers, count(*) FILTER (depth > 1) AS transitive_callers, count(*) FILTER (depth = 2) AS may_break, count(*) FILTER (depth >= 3) AS review,
+            count(DISTINCT file) FILTER (file <> '') AS files, count(DISTINCT module) FILTER (file <> '') AS modules FROM m GROUP BY start),
+        b AS (SELECT start, count(*) FILTER (depth = 1) AS direct_callees, count(*) FILTER (depth > 1) AS transitive_callees FROM vr GROUP BY start),
+        r AS (SELECT s.start, coalesce(direct_callers, 0) AS direct_callers, coalesce(transitive_callers, 0) AS transitive_callers, coalesce(may_break, 0) AS may_break, coalesce(review, 0) AS review, coalesce(files, 0) AS files,
+            coalesce(modules, 0) AS modules, coalesce(direct_callees, 0) AS direct_callees, coalesce(transitive_callees, 0) AS transitive_callees FROM starts s LEFT JOIN a USING (start) LEFT JOIN b USING (start)),
+        k AS (SELECT *, CAST(least(100, least(30, direct_callers * 5) + least(20, transitive_callers * 2) + least(25, files * 3) + least(15, modules * 5) + least(10, direct_callees * 2)) AS BIGINT) AS risk FROM r)
+        SELECT *, CASE WHEN risk >= 70 THEN 'critical' WHEN risk >= 50 THEN 'high' WHEN risk >= 25 THEN 'medium' ELSE 'low' END AS level FROM k""",
+    "symbol_search": f"""WITH {NODES_SQL}, s AS (SELECT id, name, lower(name) AS l, list_filter(string_split(lower(name), '_'), lambda x: x <> '') AS p FROM n WHERE contains(lower(name), 'merge_rank')),
+        c AS (SELECT *, len(list_intersect(['merge', 'rank'], p)) AS k FROM s)
+        SELECT id, name, CAST(CASE WHEN l = 'merge_rank' THEN 100 WHEN k = 2 THEN 85 WHEN starts_with(l, 'merge_rank') THEN 70 WHEN k > 0 THEN 50 ELSE 10 END AS INTEGER) AS score FROM c ORDER BY score DESC, name, id LIMIT 20""",
+    "call_resolution": f"""WITH {NODES_SQL}, c AS (SELECT id AS call_id, CASE WHEN id % 3 = 0 THEN 'self.' || name WHEN id % 7 = 0 THEN name || '_gone' ELSE name END AS callee FROM n WHERE name <> ''),
+        x AS (SELECT call_id, n.id AS target_id, row_number() OVER (PARTITION BY call_id ORDER BY n.id) AS r FROM c JOIN n ON n.name = callee),
+        t AS (SELECT call_id, string_split(callee, '.')[-1] AS last FROM c WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.name = callee)), l AS (SELECT id, string_split(name, '.')[-1] AS last FROM n),
+        y AS (SELECT call_id, l.id AS target_id, row_number() OVER (PARTITION BY call_id ORDER BY l.id) AS r FROM t JOIN l USING (last))
+        SELECT call_id, target_id, 'exact' AS how FROM x WHERE r <= 5 UNION ALL SELECT call_id, target_id, 'suffix' FROM y WHERE r <= 5 UNION ALL SELECT call_id, -1, 'placeholder' FROM t WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.last = t.last)""",
+    "claim_verdicts": f"""WITH {_G}, x AS (SELECT e.id, a.name AS subject, b.name AS object FROM e JOIN n a ON a.id = e.source_id JOIN n b ON b.id = e.target_id WHERE e.type = 'CALLS'),
+        c AS (SELECT CAST(id AS VARCHAR) AS claim_id, subject, CASE WHEN id % 2 = 0 THEN object ELSE 'zz_nothing' END AS object FROM x WHERE subject <> '' AND object <> ''),
+        h AS (SELECT claim_id, bool_or(contains(lower(x.object), lower(c.object))) AS hit FROM c JOIN x ON lower(x.subject) = lower(c.subject) GROUP BY claim_id)
+        SELECT claim_id, CASE WHEN hit THEN 'confirmed' ELSE 'contradicted' END AS verdict, CAST(CASE WHEN hit THEN 0.9 ELSE 0.85 END AS DOUBLE) AS confidence FROM h""",
+}

@@ -273,3 +273,11 @@ ORACLES = {
         SELECT k, count(*) AS n, 'union' AS op FROM (SELECT k FROM c UNION SELECT k FROM s) GROUP BY k UNION ALL SELECT k, count(*), 'intersect' FROM (SELECT k FROM c INTERSECT SELECT k FROM s) GROUP BY k
         UNION ALL SELECT k, count(*), 'except' FROM (SELECT k FROM c EXCEPT SELECT k FROM s) GROUP BY k UNION ALL SELECT k, count(*), 'except_all' FROM (SELECT k FROM c EXCEPT ALL SELECT k FROM s) GROUP BY k""",
 }
+
+ORACLES |= {
+    "similar_bugs": f"""WITH {COMMITS_SQL}, w(error_id, words) AS (VALUES ('e1', ['crash', 'reader', 'fix', 'file']), ('e2', ['api', 'error', 'while', 'refactor'])),
+        s AS (SELECT error_id, hash, CAST(len(list_filter(words, lambda x: contains(lower(message), x))) AS INTEGER) AS score FROM k, w WHERE regexp_matches(message, '(?i)(fix|bug|hotfix|resolve|error|crash|issue)')),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY error_id ORDER BY score DESC, hash) AS INTEGER) AS rank FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 10""",
+    "stream_windows": """WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type AS tool, count(*) AS calls, round(avg(value), 6) AS mean FROM events GROUP BY ALL)
+        SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+}

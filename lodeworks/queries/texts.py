@@ -160,3 +160,30 @@ ORACLES = {
         s AS (SELECT DISTINCT doc_id, held, unnest([array_to_string(w[i + 1 : i + 8], ' ') FOR i IN range(0, greatest(len(w) - 8, 0) + 1)]) AS x FROM w WHERE len(w) > 0)
         SELECT a.doc_id, b.doc_id AS item_id, count(*) AS common FROM s a JOIN s b ON a.x = b.x WHERE NOT a.held AND b.held GROUP BY ALL""",
 }
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_EXT = r"lower(regexp_extract(file_path, '\.([A-Za-z0-9]+)$', 1))"
+_FILE_ANCHOR = r"\b([\w./-]+\.(?:py|js|ts|go|rs|java|md|toml|json|ya?ml|cfg|ini|sh))\b"
+
+ORACLES |= {
+    "imports_found": f"WITH {FILES_SQL}, x AS ("
+    + " UNION ALL ".join(
+        f"SELECT file_path AS path, unnest(list_concat(regexp_extract_all(text, {_quoted(p)}, 1), regexp_extract_all(text, {_quoted(p)}, 2))) AS import FROM g WHERE text IS NOT NULL AND {_EXT} = '{k}'" for k, p in ch.IMPORT_PATTERNS.items()
+    )
+    + ") SELECT DISTINCT path, import FROM x WHERE import <> ''",
+    "symbols_found": f"WITH {FILES_SQL}, x AS ("
+    + " UNION ALL ".join(f"SELECT file_path AS path, unnest(regexp_extract_all(text, {_quoted(p)}, 1)) AS symbol FROM g WHERE text IS NOT NULL AND {_EXT} = '{k}'" for k, p in ch.SYMBOL_PATTERNS.items())
+    + ") SELECT DISTINCT path, symbol FROM x",
+    "structural_counts": f"WITH {FILES_SQL}, x AS ("
+    + " UNION ALL ".join(f"SELECT file_path AS path, '{k}' AS pattern, CAST(len(regexp_extract_all(text, {_quoted(p)})) AS INTEGER) AS n FROM g WHERE text IS NOT NULL" for k, p in ch.PATTERNS.items())
+    + ") SELECT * FROM x WHERE n > 0",
+    "chunk_summaries": f"""WITH {CHUNKS_SQL}, s AS (SELECT chunk_id, trim(string_split(trim(coalesce(docstring, '')), chr(10))[1]) AS d, concat_ws(' ', lower(coalesce(symbol_kind, '')), nullif(symbol_name, '')) AS k, coalesce(symbol_name, '') AS nm,
+          trim(string_split(coalesce(text, ''), chr(10))[1]) AS t FROM c) SELECT chunk_id, left(CASE WHEN d <> '' THEN d WHEN nm <> '' THEN k ELSE t END, 200) AS summary FROM s""",
+    "anchor_verdicts": f"""WITH {FILES_SQL}, a AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {_quoted(_FILE_ANCHOR)}, 1)) AS anchor FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT file_path AS anchor FROM g UNION SELECT regexp_extract(file_path, '([^/\\\\]+)$', 1) FROM g), f AS (SELECT doc_id, count(*) FILTER (anchor IN (SELECT anchor FROM p)) AS found, count(*) AS anchors FROM a GROUP BY doc_id)
+        SELECT *, CASE WHEN found = anchors THEN 'FOUND' WHEN found = 0 THEN 'NOT_FOUND' ELSE 'INCONCLUSIVE' END AS verdict FROM f""",
+}
