@@ -84,6 +84,7 @@ _HEADER = {
 #: Words that look like a call or method before "(" but open no function.
 _KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "function", "new", "else", "do", "try", "with", "typeof", "await", "yield", "throw", "super", "synchronized", "case", "in", "of", "delete", "void", "assert", "import", "class"}
 _OPEN, _CLOSE = "([{", ")]}"
+_TO_BODY = re.compile(r"[^;{]*")
 
 
 def _brackets(masked: str) -> dict[int, int]:
@@ -186,7 +187,7 @@ def _braced(text: str, lang: str) -> list[Function]:
             close = len(masked)
         else:
             close = pairs.get(paren, len(masked))
-        body = re.compile(r"[^;{]*").match(masked, min(close + 1, len(masked))).end()
+        body = _TO_BODY.match(masked, min(close + 1, len(masked))).end()
         opened = body < len(masked) and masked[body] == "{"
         rest = masked[close + 1 : body]
         if groups.get("m") or lang == "java":
@@ -278,6 +279,19 @@ def _python(text: str) -> list[Function]:
     return _nested(out)
 
 
+def _defined(tree: ast.AST) -> list[ast.FunctionDef | ast.AsyncFunctionDef]:
+    """All function nodes; only statements are visited, for expressions hold none."""
+    out, stack = [], [tree]
+    while stack:
+        node = stack.pop()
+        for part in ("body", "orelse", "finalbody", "handlers", "cases"):
+            for child in getattr(node, part, ()):
+                if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
+                    out.append(child)
+                stack.append(child)
+    return out
+
+
 def _python_tree(tree: ast.Module, text: str, comments: _Comments) -> list[Function]:
     starts = [0]
     for m in re.finditer("\n", text):
@@ -288,9 +302,7 @@ def _python_tree(tree: ast.Module, text: str, comments: _Comments) -> list[Funct
         return starts[line - 1] + len(lines[line - 1].encode()[:col].decode(errors="ignore"))
 
     out = []
-    for node in ast.walk(tree):
-        if not isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            continue
+    for node in _defined(tree):
         start = offset(node.lineno, node.col_offset)
         top = min([node.lineno, *(d.lineno for d in node.decorator_list)])
         docs = [comments.above(starts[top - 1] + len(lines[top - 1]) - len(lines[top - 1].lstrip()))]
