@@ -102,7 +102,7 @@ def components(links: DataFrame) -> DataFrame:
 _OUT = "tree string, node string, root string, depth int, path array<string>, descendants bigint, cycle_edge boolean"
 
 
-def _walk(rows: list[tuple[str, str]], with_path: bool) -> Iterator[tuple]:
+def _walk(rows: list[tuple[str, str]], with_path: bool, with_roots: bool = False) -> Iterator[tuple]:
     """Iterative depth-first traversal with colouring of one component.
 
     rows: (node, parent). White nodes are unseen, grey ones on the stack,
@@ -134,6 +134,7 @@ def _walk(rows: list[tuple[str, str]], with_path: bool) -> Iterator[tuple]:
             size = sizes.pop()
             if stack:
                 sizes[-1] += size + 1
+            if stack or with_roots:
                 yield node, root, len(path) - 1, list(path) if with_path else None, size, False
             path.pop()
     # what is white now hangs below no root: go up until a grey node closes the cycle
@@ -153,7 +154,7 @@ def _walk(rows: list[tuple[str, str]], with_path: bool) -> Iterator[tuple]:
         yield node, "", -1, None, None, node in back
 
 
-def _walk_partition(batches: Iterator[pd.DataFrame], with_path: bool) -> Iterator[pd.DataFrame]:
+def _walk_partition(batches: Iterator[pd.DataFrame], with_path: bool, with_roots: bool = False) -> Iterator[pd.DataFrame]:
     """Components come sorted, so one is held at a time, whatever the batches' borders."""
     names = ["tree", "node", "root", "depth", "path", "descendants", "cycle_edge"]
     ready: list[tuple] = []
@@ -178,7 +179,7 @@ def _walk_partition(batches: Iterator[pd.DataFrame], with_path: bool) -> Iterato
             yield key[0], rows
 
     for tree, rows in groups():
-        for r in _walk(rows, with_path):
+        for r in _walk(rows, with_path, with_roots):
             ready.append((tree, *r))
             weight += 1 + len(r[3] or ())
             if weight > 200_000:
@@ -188,7 +189,7 @@ def _walk_partition(batches: Iterator[pd.DataFrame], with_path: bool) -> Iterato
         yield frame()
 
 
-def hierarchy(links: DataFrame, with_path: bool = True, max_component: int = MAX_COMPONENT) -> DataFrame:
+def hierarchy(links: DataFrame, with_path: bool = True, max_component: int = MAX_COMPONENT, with_roots: bool = False) -> DataFrame:
     """Full hierarchy of parent-child links.
 
     links: (tree STRING, node STRING, parent STRING), other columns are
@@ -198,6 +199,7 @@ def hierarchy(links: DataFrame, with_path: bool = True, max_component: int = MAX
     ``descendants`` (their number) and ``cycle_edge``. Nodes whose chain enters a
     cycle have root '', depth -1 and null path and descendants; ``cycle_edge``
     marks in each cycle the smallest node, whose parent link closes it.
+    ``with_roots`` adds a row of depth 0 for each node that has children but no parent.
     """
     one = cut(parent_links(links))
     comp = cut(components(one))
@@ -208,15 +210,15 @@ def hierarchy(links: DataFrame, with_path: bool = True, max_component: int = MAX
         small.select("tree", "comp", "node", "parent")
         .repartition("tree", "comp")
         .sortWithinPartitions("tree", "comp")
-        .mapInPandas(lambda it: _walk_partition(it, with_path), _OUT)
+        .mapInPandas(lambda it: _walk_partition(it, with_path, with_roots), _OUT)
     )
     large = comp.join(big, ["tree", "comp"], "left_semi")
     if not large.isEmpty():
-        walked = walked.unionByName(_large(large, with_path))
+        walked = walked.unionByName(_large(large, with_path, with_roots))
     return walked
 
 
-def _large(comp: DataFrame, with_path: bool) -> DataFrame:
+def _large(comp: DataFrame, with_path: bool, with_roots: bool = False) -> DataFrame:
     """Components beyond the bound: root and depth are known from doubling;
     paths by doubling with ancestor lists, descendants by counting ancestors."""
     rooted = comp.where("depth >= 0")
@@ -232,7 +234,12 @@ def _large(comp: DataFrame, with_path: bool) -> DataFrame:
         "tree", "node", F.lit("").alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("bigint").alias("descendants"),
         (F.col("node") == F.col("comp")).alias("cycle_edge"),
     )
-    return trees.unionByName(lost)
+    out = trees.unionByName(lost)
+    if not with_roots:
+        return out
+    own = F.array("node") if with_path else F.lit(None).cast("array<string>")
+    tops = rooted.groupBy("tree", F.col("root").alias("node")).agg(F.count("*").alias("descendants"))
+    return out.unionByName(tops.select("tree", "node", F.col("node").alias("root"), F.lit(0).alias("depth"), own.alias("path"), "descendants", F.lit(False).alias("cycle_edge")))
 
 
 def descendant_pairs(tree: DataFrame) -> DataFrame:

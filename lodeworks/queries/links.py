@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.common import counting_rows, micros_of, table, union_all
-from lodeworks.operators.hierarchy import hierarchy
+from lodeworks.operators.hierarchy import descendant_pairs, hierarchy, parent_links
 from lodeworks.operators.references import Children, orphan_report, orphans
 
 #: The types of containment edges, parent to child.
@@ -33,11 +33,32 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Full path and number of descendants of each node in a tree."""
+    """Full path and number of descendants of each node that hangs below a root; :func:`p3_nodes` has all nodes."""
     tree = hierarchy(containment_links(spark, sf)).where("depth > 0")
     return tree.select(F.col("tree").alias("table_name"), F.col("node").alias("node_id"), F.array_join("path", "/").alias("path"), "depth", "descendants")
 
 
+def p3_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the links, roots and nodes of endless chains too; these have depth -1, no path and no descendants."""
+    tree = hierarchy(containment_links(spark, sf), with_roots=True)
+    return tree.select(
+        F.col("tree").alias("table_name"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", F.array_join("path", "/").alias("path"), "descendants", "cycle_edge",
+    )
+
+
+def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """All descendants of every node in a tree, roots included."""
+    pairs = descendant_pairs(hierarchy(containment_links(spark, sf)))
+    return pairs.select(F.col("tree").alias("table_name"), F.col("node").alias("node_id"), F.col("descendant").alias("descendant_id"), "distance")
+
+
+def p3_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """The parent link that closes each cycle."""
+    links = containment_links(spark, sf)
+    closing = hierarchy(links, with_path=False).where("cycle_edge").select("tree", "node")
+    return parent_links(links).join(closing, ["tree", "node"]).select(F.col("tree").alias("table_name"), F.col("node").alias("node_id"), F.col("parent").alias("parent_id"))
+
+
 def reference_parts(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], list[Children]]:
     nodes, files = table(spark, sf, "graph_nodes"), table(spark, sf, "file_listing")
     edges, rows = table(spark, sf, "graph_edges"), table(spark, sf, "fts5_index")
@@ -109,7 +130,7 @@ _P4 = f"""
     FROM kid LEFT JOIN target ON target.ref = kid.ref
     WHERE kid.ref IS NOT NULL AND (target.ref IS NULL OR gone OR since > tm))"""
 
-QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_nodes": p3_nodes, "p3_descendants": p3_descendants, "p3_cycles": p3_cycles, "p4_found": p4_found, "p4_report": p4_report}
 
 ORACLES = {
     "p3_found": f"""WITH RECURSIVE {_LINKS}
@@ -121,6 +142,22 @@ ORACLES = {
           (SELECT string_agg(deep.anc, '/' ORDER BY deep.d) FROM deep WHERE deep.tree = r.tree AND deep.node = r.node) || '/' || r.node AS path,
           r.depth, CAST(coalesce(k.n, 0) AS BIGINT) AS descendants
         FROM reached r LEFT JOIN kids k ON k.tree = r.tree AND k.anc = r.node WHERE r.root IS NOT NULL""",
+    "p3_nodes": f"""WITH RECURSIVE {_LINKS},
+        top AS (SELECT DISTINCT tree, root AS node FROM reached WHERE root IS NOT NULL),
+        spot AS (SELECT tree, node, root, depth FROM reached UNION ALL SELECT tree, node, node, 0 FROM top),
+        kids AS (SELECT tree, anc, count(*) AS n FROM up GROUP BY ALL),
+        way AS (SELECT up.tree, up.node, string_agg(up.anc, '/' ORDER BY coalesce(a.depth, 0)) AS way FROM up LEFT JOIN reached a ON a.tree = up.tree AND a.node = up.anc GROUP BY ALL),
+        ring AS (SELECT tree, node, min(anc) AS low FROM up WHERE (tree, anc, node) IN (SELECT tree, node, anc FROM up) GROUP BY ALL)
+        SELECT s.tree AS table_name, s.node AS node_id, coalesce(s.root, '') AS root_id, CASE WHEN s.root IS NULL THEN -1 ELSE s.depth END AS depth,
+          CASE WHEN s.root IS NOT NULL THEN coalesce(w.way || '/', '') || s.node END AS path, CASE WHEN s.root IS NOT NULL THEN CAST(coalesce(k.n, 0) AS BIGINT) END AS descendants,
+          coalesce(ring.low = s.node, false) AS cycle_edge
+        FROM spot s LEFT JOIN kids k ON k.tree = s.tree AND k.anc = s.node LEFT JOIN way w ON w.tree = s.tree AND w.node = s.node LEFT JOIN ring ON ring.tree = s.tree AND ring.node = s.node""",
+    "p3_descendants": f"""WITH RECURSIVE {_LINKS}
+        SELECT up.tree AS table_name, up.anc AS node_id, up.node AS descendant_id, CAST(r.depth - coalesce(a.depth, 0) AS INTEGER) AS distance
+        FROM up JOIN reached r ON r.tree = up.tree AND r.node = up.node LEFT JOIN reached a ON a.tree = up.tree AND a.node = up.anc WHERE r.root IS NOT NULL""",
+    "p3_cycles": f"""WITH RECURSIVE {_LINKS},
+        ring AS (SELECT tree, node, min(anc) AS low FROM up WHERE (tree, anc, node) IN (SELECT tree, node, anc FROM up) GROUP BY ALL)
+        SELECT link.tree AS table_name, link.node AS node_id, link.parent AS parent_id FROM ring JOIN link ON link.tree = ring.tree AND link.node = ring.node WHERE ring.low = ring.node""",
     "p4_found": f"WITH {_P4} SELECT table_name, field, record_id, period FROM orphan",
     "p4_report": f"WITH {_P4} SELECT table_name, field, period, reason, count(*) AS orphans FROM orphan GROUP BY ALL",
 }

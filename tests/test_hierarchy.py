@@ -1,8 +1,12 @@
+import os
 import random
 
 import pytest
 
-from lodeworks.operators.hierarchy import descendant_pairs, hierarchy
+from lodeworks.operators.hierarchy import descendant_pairs, hierarchy, parent_links
+from lodeworks.queries.links import QUERIES, containment_links
+
+DATA = "/root/testdata/sf0.001"
 
 SCHEMA = "tree string, node string, parent string"
 
@@ -78,3 +82,35 @@ def test_random_forests_with_cycles(spark, seed):
 def test_hot_parent(spark):
     links = [("t", f"k{i}", "hub") for i in range(2000)] + [("t", "hub", "top")]
     check(spark, links, with_path=False)
+
+
+def test_roots_have_rows_of_their_own(spark):
+    links = [("t", "b", "a"), ("t", "c", "b"), ("t", "x", "y"), ("t", "y", "x"), ("u", "k", "top"), ("u", "l", "top")]
+    for bound in (100, 1):
+        tree = hierarchy(spark.createDataFrame(links, SCHEMA), max_component=bound, with_roots=True)
+        got = {(r.tree, r.node): (r.root, r.depth, r.path, r.descendants) for r in tree.collect()}
+        assert len(got) == 8 and tree.count() == 8
+        assert got["t", "a"] == ("a", 0, ["a"], 2) and got["u", "top"] == ("top", 0, ["top"], 2)
+        assert got["t", "c"] == ("a", 2, ["a", "b", "c"], 0) and got["t", "x"] == ("", -1, None, None)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_all_nodes_and_descendants_are_registered(spark):
+    """Against the links of the smallest tables, walked up one by one."""
+    parent = {(r.tree, r.node): r.parent for r in parent_links(containment_links(spark, DATA)).collect()}
+    ends = brute([(t, n, p) for (t, n), p in parent.items()])
+    nodes = QUERIES["p3_nodes"](spark, DATA).collect()
+    roots = {(t, r) for (t, _), (r, d) in ends.items() if d > 0}
+    assert roots and {(r.table_name, r.node_id) for r in nodes if r.depth == 0} == roots
+    assert {(r.table_name, r.node_id): (r.root_id, r.depth) for r in nodes if r.depth} == ends and len(nodes) == len(ends) + len(roots)
+    pairs = set()
+    for (tree, node), (_, depth) in ends.items():
+        at = node
+        for k in range(1, depth + 1):
+            at = parent[tree, at]
+            pairs.add((tree, at, node, k))
+    found = [tuple(r) for r in QUERIES["p3_descendants"](spark, DATA).collect()]
+    assert len(found) == len(pairs) and set(found) == pairs
+    closing = QUERIES["p3_cycles"](spark, DATA).collect()
+    assert sorted((r.table_name, r.node_id) for r in nodes if r.cycle_edge) == sorted((r.table_name, r.node_id) for r in closing)
+    assert all(parent[r.table_name, r.node_id] == r.parent_id and ends[r.table_name, r.node_id][1] == -1 for r in closing)
