@@ -81,8 +81,13 @@ _HEADER = {
     ),
     "python": re.compile(rf"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>[^\W\d]\w*)[ \t]*(?=[(\[])", re.M),
 }
-#: Words that look like a call or method before "(" but open no function.
-_KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "function", "new", "else", "do", "try", "with", "typeof", "await", "yield", "throw", "super", "synchronized", "case", "in", "of", "delete", "void", "assert", "import", "class"}
+#: Words that open a statement or expression before "(" where a header has no introducing keyword; others of the languages' words may name methods.
+_RESERVED = {
+    "js": {"if", "for", "while", "switch", "catch", "with", "function", "case"},
+    "java": {"if", "for", "while", "switch", "catch", "try", "return", "new", "else", "do", "throw", "super", "this", "synchronized", "case", "assert", "void", "import", "class"},
+}
+#: Legal names of JS methods that also stand before "(" in expressions; an arrow may follow there.
+_BEFORE_ARROW = {"return", "throw", "await", "yield", "typeof", "void", "delete", "new", "else", "do", "in", "of", "super"}
 _OPEN, _CLOSE = "([{", ")]}"
 _TO_BODY = re.compile(r"[^;{]*")
 
@@ -175,7 +180,8 @@ def _braced(text: str, lang: str) -> list[Function]:
     for m in _HEADER[lang].finditer(masked):
         groups = m.groupdict()
         name = groups.get("name") or groups.get("f") or groups.get("v") or groups.get("m")
-        if not name or name in _KEYWORDS:
+        bare = groups.get("m") or (name if lang == "java" else None)
+        if not name or bare in _RESERVED.get(lang, ()) and (lang == "java" or m.group().strip() == bare):
             continue
         start = m.start() + len(m.group()) - len(m.group().lstrip())
         paren = masked.find("(", m.end() - 1 if lang != "rust" else m.end())
@@ -198,7 +204,7 @@ def _braced(text: str, lang: str) -> list[Function]:
                 if not known and opened and re.match(r"\s*(?:public|private|protected)\b", m.group()):
                     fine = not strict or strict.startswith("throws")
             else:
-                fine = opened and (not strict or strict.startswith(":"))
+                fine = opened and (not strict or strict.startswith(":") and not (name in _BEFORE_ARROW and strict.endswith("=>")))
             if not fine:
                 continue
         if groups.get("v") and not opened:

@@ -82,3 +82,16 @@ def test_operator(spark):
     got = funcdocs.code_pairs(df, "k", "p", "n", "kd", "d", "t").collect()
     assert [(r.key, r.symbol_name, r.code) for r in got] == [("1", "f", "def f(): pass")] * 2
     assert funcdocs.code_pairs(df.limit(0), "k", "p", "n", "kd", "d", "t").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("lang", "code", "names"),
+    [
+        ("rust", "impl A {\n    /// Makes one.\n    pub fn new(a: u8) -> Self {\n        A { a }\n    }\n    fn of() {}\n}\n", ["new", "of"]),
+        ("go", "// new makes a store of the given size.\nfunc new(n int) *Store {\n\tif (n > 0) {\n\t\treturn nil\n\t}\n}\nfunc (s *Store) delete(k string) {\n}\n", ["new", "delete"]),
+        ("java", "class A {\n    static A of(int a) {\n        if (a > 0) {\n            return new A(a);\n        } else if (a < 0) {\n        }\n        synchronized (this) {\n        }\n    }\n    void delete(String k) {\n    }\n}\n", ["of", "delete"]),
+        ("js", "class A {\n  delete(k) {\n    if (k) {\n    }\n    for (const x of k) {\n    }\n    switch (k) {\n      case (1): {\n      }\n    }\n    return (x: string): number => {\n    };\n  }\n  static of(a) {\n  }\n  import(p) {\n    import(p).then(() => {\n    });\n  }\n  return(v) {\n  }\n  static for(k) {\n  }\n}\n", ["delete", "of", "import", "return", "for"]),
+    ],
+)
+def test_words_of_other_languages_name_functions(lang, code, names):
+    assert [f.name for f in codeparse.functions(code, lang)] == names
