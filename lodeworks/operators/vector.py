@@ -1,11 +1,19 @@
-"""Vector expressions and exact nearest neighbours of a few query vectors."""
+"""Vector expressions and exact nearest neighbours of query vectors."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodeworks.common import cut, drop_cut, shared_dir
+
+#: Query vectors that are broadcast at once.
+MAX_QUERIES = 1000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -31,34 +39,64 @@ def not_zero(vector: str, least: float = 1e-9) -> Column:
     return F.aggregate(F.col(vector), F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")) >= least
 
 
-def knn(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, group: str | None = None) -> DataFrame:
+def _in_blocks(queries: DataFrame, near: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """near(queries); more than ``most`` queries are taken in blocks by the hash of their id, one after the other,
+    so one block at a time is broadcast. Their results go to one table in the shared folder."""
+    if queries.limit(most + 1).count() <= most:
+        return near(queries)
+    spark = queries.sparkSession
+    all_ = cut(queries)
+    parts = -(-2 * all_.count() // most)
+    path = f"{shared_dir(spark)}/lodeworks/{uuid.uuid4().hex}"
+    for i in range(parts):
+        found = near(all_.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i))
+        found.write.mode("append").parquet(path)
+    drop_cut(all_)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def _against(rows: DataFrame, vector: str, queries: DataFrame) -> DataFrame:
+    """Rows with each query and the cosine ``distance``, null where there is none; lengths are computed once per vector."""
+    left = rows.where(F.col(vector).isNotNull()).withColumn("_norm", norm(F.col(vector)))
+    both = left.crossJoin(F.broadcast(queries.withColumn("_query_norm", norm(F.col("query_vector")))))
+    same = F.when(F.size(vector) == F.size("query_vector"), F.try_divide(dot(F.col(vector), F.col("query_vector")), F.col("_norm") * F.col("_query_norm")))
+    return both.withColumn("distance", F.round(1 - same, 6)).drop("_norm", "_query_norm")
+
+
+def knn(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, group: str | None = None, block: int = MAX_QUERIES) -> DataFrame:
     """(query_id, [group,] key, distance, rank): exact ``k`` nearest by cosine distance (L5), per group if given.
 
-    queries: (query_id, query_vector), at most 1,000 rows, checked, then broadcast: the table is scanned once for
-    all queries and nothing but the best rows of each partition is shuffled.
+    queries: (query_id, query_vector). At most ``block`` of them are broadcast at once: the table is scanned once for
+    each block and nothing but the best rows of each partition is shuffled.
     """
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("at most 1000 query vectors; for more use a block join")
     keep = [group] if group else []
-    near = rows.where(F.col(vector).isNotNull()).crossJoin(F.broadcast(queries)).withColumn("distance", F.round(1 - cosine(F.col(vector), F.col("query_vector")), 6))
-    order = W.partitionBy("query_id", *keep).orderBy("distance", key)
-    near = near.where("distance is not null").select("query_id", *keep, key, "distance")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = W.partitionBy("query_id", *keep).orderBy(F.col("distance").asc_nulls_last(), key)
+
+    def near(asked: DataFrame) -> DataFrame:
+        at = _against(rows.select(*dict.fromkeys([*keep, key, vector])), vector, asked).select("query_id", *keep, key, "distance")
+        # nulls are last, so they are left out after the rank and the distance is computed once
+        return at.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & F.col("distance").isNotNull())
+
+    return _in_blocks(queries, near, block)
 
 
-def context_search(rows: DataFrame, key: str, vector: str, text: str, queries: DataFrame, k: int) -> DataFrame:
+def context_search(rows: DataFrame, key: str, vector: str, text: str, queries: DataFrame, k: int, block: int = MAX_QUERIES) -> DataFrame:
     """Similar rows that are neither the query's own text nor start with the same 200 characters as a better one.
 
-    queries: (query_id, query_vector, query_text).
+    queries: (query_id, query_vector, query_text), taken in blocks as in :func:`knn`.
     """
     # each head counts once, by its nearest row, before the cut to k, so no near copy can push others out
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("at most 1000 query vectors; for more use a block join")
-    near = rows.where(F.col(vector).isNotNull()).crossJoin(F.broadcast(queries)).where(~F.coalesce(F.col(text) == F.col("query_text"), F.lit(False)))
-    near = near.withColumn("distance", F.round(1 - cosine(F.col(vector), F.col("query_vector")), 6)).where("distance is not null")
-    near = near.groupBy("query_id", F.left(F.coalesce(F.col(text), F.lit("")), F.lit(200)).alias("head")).agg(F.min(F.struct("distance", key)).alias("b"))
+    heads = rows.select(key, vector, text, F.left(F.coalesce(F.col(text), F.lit("")), F.lit(200)).alias("head"))
     order = W.partitionBy("query_id").orderBy("b.distance", f"b.{key}")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", f"b.{key}", "b.distance", "rank")
+
+    def near(asked: DataFrame) -> DataFrame:
+        # rows of one head lie together, so only the best heads of each partition are shuffled
+        at = _against(heads.repartition("head"), vector, asked).where(~F.coalesce(F.col(text) == F.col("query_text"), F.lit(False)))
+        best = F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", key)))
+        at = at.groupBy("query_id", "head").agg(best.alias("b")).where("b is not null")
+        return at.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", f"b.{key}", "b.distance", "rank")
+
+    return _in_blocks(queries, near, block)
 
 
 def canary(before: DataFrame, after: DataFrame, key: str, vector: str, degraded_below: float = 0.95) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,18 +40,25 @@ def _vectors(spark: SparkSession, sf: str, n: int = 5) -> tuple[DataFrame, DataF
     return rows, ask
 
 
-def vector_knn(spark: SparkSession, sf: str) -> DataFrame:
-    rows, ask = _vectors(spark, sf)
+def _every_hundredth(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The whole query set: every row whose id is divisible by 100."""
+    rows = table(spark, sf, "embeddings")
+    ask = rows.where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return rows, ask
+
+
+def vector_knn(spark: SparkSession, sf: str, vectors=_vectors) -> DataFrame:
+    rows, ask = vectors(spark, sf)
     return vector.knn(rows, "vec_id", "embedding", ask, 20)
 
 
-def vector_knn_per_label(spark: SparkSession, sf: str) -> DataFrame:
-    rows, ask = _vectors(spark, sf)
+def vector_knn_per_label(spark: SparkSession, sf: str, vectors=_vectors) -> DataFrame:
+    rows, ask = vectors(spark, sf)
     return vector.knn(rows, "vec_id", "embedding", ask, 3, group="label")
 
 
-def cross_project_search(spark: SparkSession, sf: str) -> DataFrame:
-    rows, ask = _vectors(spark, sf)
+def cross_project_search(spark: SparkSession, sf: str, vectors=_vectors) -> DataFrame:
+    rows, ask = vectors(spark, sf)
     return search.multi_search(rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label"), ask, "label", 10)
 
 
@@ -97,21 +106,21 @@ def full_text_search(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.full_text_search(chunks(spark, sf), "chunk_id", "symbol_name", "text", "docstring", NAMES | {"n4": "stored offsets"}, 10)
 
 
-def mmr_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    rows, ask = _vectors(spark, sf)
+def mmr_rerank(spark: SparkSession, sf: str, vectors=_vectors) -> DataFrame:
+    rows, ask = vectors(spark, sf)
     near = vector.knn(rows, "vec_id", "embedding", ask, 30).join(rows.select("vec_id", F.col("embedding").alias("vector")), "vec_id")
     return fusion.mmr(near.withColumn("score", 1 - F.col("distance")).select("query_id", "vec_id", "score", "vector"), "query_id", "vec_id", 10)
 
 
-def context_search(spark: SparkSession, sf: str) -> DataFrame:
-    rows, ask = _vectors(spark, sf)
+def context_search(spark: SparkSession, sf: str, vectors=_vectors) -> DataFrame:
+    rows, ask = vectors(spark, sf)
     rows = rows.withColumn("text", F.concat(F.lit("row "), F.col("vec_id") % 50))
     asks = ask.withColumn("query_text", F.concat(F.lit("row "), F.col("query_id").cast("bigint") % 50))
     return vector.context_search(rows, "vec_id", "embedding", "text", asks, 10)
 
 
-def score_floor(spark: SparkSession, sf: str) -> DataFrame:
-    rows, ask = _vectors(spark, sf)
+def score_floor(spark: SparkSession, sf: str, vectors=_vectors) -> DataFrame:
+    rows, ask = vectors(spark, sf)
     near = vector.knn(rows, "vec_id", "embedding", ask, 50).withColumn("score", F.round(1 - F.col("distance"), 6))
     return fusion.score_floor(near, "query_id").select("query_id", "vec_id", "score", F.round(fusion.min_max("score", "query_id"), 6).alias("relevance"))
 
@@ -151,7 +160,12 @@ QUERIES = {
     )
 }
 
+#: The searches over the whole query set, registered as ``<name>_set``.
+SEARCHES = (vector_knn, vector_knn_per_label, cross_project_search, mmr_rerank, context_search, score_floor)
+QUERIES |= {f"{f.__name__}_set": partial(f, vectors=_every_hundredth) for f in SEARCHES}
+
 _ASK = "ask AS (SELECT CAST(vec_id AS VARCHAR) AS query_id, embedding AS qv FROM embeddings ORDER BY vec_id LIMIT 5)"
+_ASK_SET = "ask AS (SELECT CAST(vec_id AS VARCHAR) AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0)"
 _DIST = "round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6)"
 _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in QUESTIONS.items())
 _NAMES = ", ".join(f"('{k}', '{v}')" for k, v in NAMES.items())
@@ -214,3 +228,5 @@ ORACLES = {
         f AS (SELECT *, count(*) FILTER (score >= 0.3) OVER (PARTITION BY query_id) AS n FROM t), k AS (SELECT query_id, vec_id, score FROM f WHERE score >= 0.3 OR n = 0)
         SELECT query_id, vec_id, score, round(coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 1.0), 6) AS relevance FROM k WINDOW w AS (PARTITION BY query_id)""",
 }
+
+ORACLES |= {f"{f.__name__}_set": ORACLES[f.__name__].replace(_ASK, _ASK_SET) for f in SEARCHES if f.__name__ in ORACLES}

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as tx
 from lodeworks.operators import fusion, lexical, vector
 from lodeworks.plans import search
+from lodeworks.queries import retrieval
 
 
 def one(spark, expr, **values):
@@ -110,3 +112,22 @@ def test_hybrid_pipeline(spark):
     assert search.over_fetch(10) == 20 and search.over_fetch(50) == 30 and search.result_budget(10) == 4
     deep = search.deep_search(chunks, "load rows", limit=4).collect()
     assert len(deep) == 4
+
+
+def test_query_sets_beyond_one_block(spark):
+    rnd = random.Random(3)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(4)], f"row {i % 7}") for i in range(60)]
+    df = spark.createDataFrame([*rows, (98, [0.0] * 4, "zero"), (99, None, "none")], "id bigint, v array<float>, t string")
+    asks = spark.createDataFrame([(f"q{i}", rows[i % 60][1], "row 0") for i in range(1100)], "query_id string, query_vector array<float>, query_text string")
+    few = asks.where("query_id in ('q0', 'q1', 'q2', 'q3', 'q4', 'q5', 'q6')")
+    for search_ in (lambda q, **b: vector.knn(df, "id", "v", q, 2, **b), lambda q, **b: vector.context_search(df, "id", "v", "t", q, 2, **b)):
+        assert search_(asks).count() == 2200
+        assert sorted(search_(few, block=2).collect()) == sorted(search_(few).collect()) != []
+
+
+def test_query_set_is_every_hundredth_row(spark, tmp_path):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)], f"l{i % 2}") for i in range(1, 801)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("vector_knn", "vector_knn_per_label", "cross_project_search", "mmr_rerank", "context_search", "score_floor"):
+        found = retrieval.QUERIES[f"{name}_set"](spark, str(tmp_path)).select("query_id").distinct().collect()
+        assert {r.query_id for r in found} == {str(i) for i in range(100, 801, 100)}, name
