@@ -58,6 +58,15 @@ def chain_no_shortcut(spark: SparkSession, sf: str) -> DataFrame:
     return chains.groupBy("b").agg(F.count("*").alias("chains"))
 
 
+def import_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of imports a->b->c without a->c."""
+    return gr.chain_without_shortcut(_pairs(spark, sf, "IMPORTS"))
+
+
+def import_chain_no_shortcut(spark: SparkSession, sf: str) -> DataFrame:
+    return import_chains(spark, sf).groupBy("b").agg(F.count("*").alias("chains"))
+
+
 def mutual_edges(spark: SparkSession, sf: str) -> DataFrame:
     return gr.mutual(_pairs(spark, sf, "CALLS"))
 
@@ -160,7 +169,7 @@ def retract_cascade(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {k: _cypher(q) for k, q in CYPHER.items()} | {
     f.__name__: f
     for f in (
-        graph_stats, graph_summary, dead_nodes, dead_code_report, chain_no_shortcut, mutual_edges, hub_nodes, bfs_depth3, shortest_path_len, impact_risk, data_flow, pagerank_20, communities,
+        graph_stats, graph_summary, dead_nodes, dead_code_report, chain_no_shortcut, import_chains, import_chain_no_shortcut, mutual_edges, hub_nodes, bfs_depth3, shortest_path_len, impact_risk, data_flow, pagerank_20, communities,
         repo_map, symbol_search, symbol_references, changed_symbols, project_dependencies, project_cycles, call_resolution, claim_verdicts, retract_cascade,
     )
 }
@@ -231,7 +240,12 @@ ORACLES = {
 _WALK = """{a} AS (SELECT start, start AS node, 0 AS d FROM starts UNION SELECT w.start, e.{to}, w.d + 1 FROM {a} w JOIN e ON e.{of} = w.node WHERE e.type = '{kind}' AND w.d < {depth}),
   {a}r AS (SELECT start, node, min(d) AS depth FROM {a} GROUP BY ALL HAVING min(d) > 0)"""
 
+_IMPORT_CHAINS = f"""{EDGES_SQL}, p AS (SELECT DISTINCT source_id AS s, target_id AS t FROM e WHERE type = 'IMPORTS' AND source_id <> target_id),
+    chain AS (SELECT x.s AS a, x.t AS b, y.t AS c FROM p x JOIN p y ON x.t = y.s WHERE x.s <> y.t AND NOT EXISTS (SELECT 1 FROM p z WHERE z.s = x.s AND z.t = y.t))"""
+
 ORACLES |= {
+    "import_chains": f"WITH {_IMPORT_CHAINS} SELECT a, b, c FROM chain",
+    "import_chain_no_shortcut": f"WITH {_IMPORT_CHAINS} SELECT b, count(*) AS chains FROM chain GROUP BY b",
     "data_flow": f"""WITH RECURSIVE {EDGES_SQL}, starts AS (SELECT source_id AS start FROM e WHERE type = 'ASSIGNED_FROM' GROUP BY source_id ORDER BY count(*) DESC, source_id LIMIT 10),
         {_WALK.format(a="u", to="target_id", of="source_id", kind="ASSIGNED_FROM", depth=3)}, {_WALK.format(a="v", to="source_id", of="target_id", kind="ASSIGNED_FROM", depth=3)}
         SELECT start, node, depth, 'from' AS way FROM ur UNION ALL SELECT start, node, depth, 'to' FROM vr""",

@@ -111,3 +111,13 @@ def test_claims(spark, rows):
     claims = spark.createDataFrame([("a", "load", "calls", "Open"), ("b", "load", "calls", "close"), ("c", "load", "imports", "x"), ("d", "load", "defined_in", "io.py"), ("e", "gone", "calls", "x")], "claim_id string, subject string, predicate string, object string")
     got = {r.claim_id: (r.verdict, r.confidence) for r in g.verify_claims(claims, nodes, edges(spark, [(1, 2)])).collect()}
     assert got == {"a": ("confirmed", 0.9), "b": ("contradicted", 0.85), "c": ("unverifiable", 0.3), "d": ("confirmed", 0.9), "e": ("unverifiable", 0.3)}
+
+
+def test_import_chains_are_registered(spark, rows, tmp_path):
+    from lodeworks.queries.graphs import QUERIES
+
+    edges = [(1, 1, 2, "IMPORTS"), (2, 2, 3, " imports"), (3, 2, 4, "IMPORTS"), (4, 1, 4, "IMPORTS"), (5, 1, 2, "IMPORTS"), (6, 3, 5, "DECORATES"), (7, 4, None, "IMPORTS"), (8, 2, 1, "IMPORTS")]
+    made = spark.createDataFrame(edges, "id bigint, source_id bigint, target_id bigint, type string").selectExpr("*", "1D AS weight", "'' AS properties", "timestamp'2024-01-01 00:00:00' AS loaded_at")
+    made.write.parquet(f"{tmp_path}/graph_edges.parquet")
+    assert rows(QUERIES["import_chains"](spark, str(tmp_path)), "a", "b", "c") == [(1, 2, 3)]
+    assert rows(QUERIES["import_chain_no_shortcut"](spark, str(tmp_path))) == [(2, 1)]
