@@ -106,16 +106,27 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8
     )
 
 
+def _bags(symbols: DataFrame, key: str, text: str, min_tokens: int) -> DataFrame:
+    bags = symbols.select(F.col(key).alias("k"), normalised_tokens(text).alias("t")).where(F.size("t") >= min_tokens)
+    return bags.select("k", F.array_sort(multiset(F.col("t"))).alias("f"))
+
+
 def symbol_duplicates(symbols: DataFrame, key: str, text: str, threshold: float = 0.85, min_tokens: int = 24) -> DataFrame:
     """(a, b, jaccard) of functions alike up to the names in them (R34, J18): bags of normalised tokens.
 
     Functions with equal bags are one class, represented by their smallest key.
     """
-    bags = symbols.select(F.col(key).alias("k"), normalised_tokens(text).alias("t")).where(F.size("t") >= min_tokens).select("k", F.array_sort(multiset(F.col("t"))).alias("f"))
-    reps = bags.groupBy("f").agg(F.min("k").alias("k")).select("k", "f")
+    reps = _bags(symbols, key, text, min_tokens).groupBy("f").agg(F.min("k").alias("k")).select("k", "f")
     return similarity_join(reps, "k", "f", threshold)
 
 
+def symbol_classes(symbols: DataFrame, key: str, text: str, min_tokens: int = 24) -> DataFrame:
+    """(key, representative, copies) of all functions that take part in :func:`symbol_duplicates`: the smallest key of equal bags and their number."""
+    bags = _bags(symbols, key, text, min_tokens).select("k", F.sha1(F.array_join("f", ",")).alias("h"))
+    reps = bags.groupBy("h").agg(F.min("k").alias("representative"), F.count("*").alias("copies"))
+    return bags.join(reps, "h").select(F.col("k").alias(key), "representative", "copies")
+
+
 def symbol_copies(symbols: DataFrame, key: str, text: str, min_tokens: int = 24) -> DataFrame:
     """(key, group, copies) of functions with the same sequence of normalised tokens."""
     seq = symbols.select(F.col(key).alias(key), normalised_tokens(text).alias("t")).where(F.size("t") >= min_tokens).select(key, F.array_join("t", " ").alias("s"))

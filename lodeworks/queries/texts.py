@@ -112,6 +112,20 @@ def code_copies(spark: SparkSession, sf: str) -> DataFrame:
     return du.symbol_copies(chunks(spark, sf).where("lower(symbol_kind) in ('function', 'method', 'function_definition')"), "chunk_id", "text")
 
 
+def _function_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks(spark, sf).where("lower(trim(symbol_kind)) in ('function', 'method', 'function_definition', 'method_definition', 'function_part', 'constructor')")
+
+
+def code_near_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Links between functions alike up to names, one function of each class of :func:`code_classes` taking part."""
+    return du.symbol_duplicates(_function_rows(spark, sf), "chunk_id", "text")
+
+
+def code_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of every function: which function represents it in :func:`code_near_copies`."""
+    return du.symbol_classes(_function_rows(spark, sf), "chunk_id", "text")
+
+
 def contamination(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that share runs of eight words with review comments."""
     docs = table(spark, sf, "documents").where("text is not null")
@@ -123,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         char_windows, line_windows, section_split, code_references, broken_references, version_strings, anchor_verdicts, imports_found, symbols_found, python_facts, python_chunks, symbol_hashes,
-        structural_counts, code_health, instruction_risks, path_metadata, chunk_summaries, exact_dups, near_dups, near_dup_pairs, code_copies, contamination,
+        structural_counts, code_health, instruction_risks, path_metadata, chunk_summaries, exact_dups, near_dups, near_dup_pairs, code_copies, code_near_copies, code_classes, contamination,
     )
 }
 

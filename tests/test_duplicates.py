@@ -46,3 +46,14 @@ def test_contamination(spark, rows):
     docs = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "x y z")], "k int, t string")
     held = spark.createDataFrame([(7, "B C D E F G H I J"), (8, None)], "h int, t string")
     assert rows(d.contamination(docs, "k", "t", held, "h", "t")) == [(1, 7, 1)]
+
+
+def test_near_copies_of_functions_are_registered(spark, rows, tmp_path):
+    from lodeworks.queries.texts import QUERIES
+
+    longer = DUPE + "".join(f"    emit(out, {i})\n" for i in range(9))
+    made = [("a", DUPE, "function"), ("b", DUPE.replace("total", "sum_of"), "Method"), ("c", longer, "function"), ("d", longer + "    log(out)\n", "function"), ("e", DUPE, "section")]
+    df = spark.createDataFrame(made, "chunk_id string, text string, symbol_kind string")
+    df.selectExpr("*", "'p' AS file_path", "1 AS chunk_index", "'f' AS symbol_name", "'' AS docstring", "'' AS layer", "'2024-01-01T00:00:00Z' AS indexed_at").write.parquet(f"{tmp_path}/fts5_index.parquet")
+    assert rows(QUERIES["code_near_copies"](spark, str(tmp_path)), "a", "b") == [("c", "d")]
+    assert rows(QUERIES["code_classes"](spark, str(tmp_path))) == [("a", "a", 2), ("b", "a", 2), ("c", "c", 1), ("d", "d", 1)]
