@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.common import table
@@ -127,17 +127,26 @@ def code_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contamination(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that share runs of eight words with review comments."""
-    docs = table(spark, sf, "documents").where("text is not null")
-    held = docs.where(F.lower("source").rlike("^glossary")).select(F.col("doc_id").alias("item_id"), "text")
-    return du.contamination(docs.where(~F.coalesce(F.lower("source").rlike("^glossary"), F.lit(False))).select("doc_id", "text"), "doc_id", "text", held, "item_id", "text")
+    """Documents that share runs of eight words with glossaries."""
+    return _held_out(spark, sf, F.lower("source").rlike("^glossary"))
+
+
+def review_contamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that share runs of eight words with review comments, however their source is spelled."""
+    return _held_out(spark, sf, F.regexp_replace(F.lower(F.trim("source")), r"[-\s]+", "_") == "review_comment")
+
+
+def _held_out(spark: SparkSession, sf: str, condition: Column) -> DataFrame:
+    docs = table(spark, sf, "documents").where("text is not null").withColumn("held", F.coalesce(condition, F.lit(False)))
+    held = docs.where("held").select(F.col("doc_id").alias("item_id"), "text")
+    return du.contamination(docs.where("not held").select("doc_id", "text"), "doc_id", "text", held, "item_id", "text")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         char_windows, line_windows, section_split, code_references, broken_references, version_strings, anchor_verdicts, imports_found, symbols_found, python_facts, python_chunks, symbol_hashes,
-        structural_counts, code_health, instruction_risks, path_metadata, chunk_summaries, exact_dups, near_dups, near_dup_pairs, code_copies, code_near_copies, code_classes, contamination,
+        structural_counts, code_health, instruction_risks, path_metadata, chunk_summaries, exact_dups, near_dups, near_dup_pairs, code_copies, code_near_copies, code_classes, contamination, review_contamination,
     )
 }
 
@@ -176,6 +185,9 @@ ORACLES = {
 }
 
 
+ORACLES["review_contamination"] = ORACLES["contamination"].replace("starts_with(lower(source), 'glossary')", r"regexp_replace(lower(trim(source)), '[-\s]+', '_', 'g') = 'review_comment'")
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 

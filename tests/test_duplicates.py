@@ -57,3 +57,13 @@ def test_near_copies_of_functions_are_registered(spark, rows, tmp_path):
     df.selectExpr("*", "'p' AS file_path", "1 AS chunk_index", "'f' AS symbol_name", "'' AS docstring", "'' AS layer", "'2024-01-01T00:00:00Z' AS indexed_at").write.parquet(f"{tmp_path}/fts5_index.parquet")
     assert rows(QUERIES["code_near_copies"](spark, str(tmp_path)), "a", "b") == [("c", "d")]
     assert rows(QUERIES["code_classes"](spark, str(tmp_path))) == [("a", "a", 2), ("b", "a", 2), ("c", "c", 1), ("d", "d", 1)]
+
+
+def test_reviews_are_held_out(spark, rows, tmp_path):
+    from lodeworks.queries.texts import QUERIES
+
+    run = "one two three four five six seven eight"
+    docs = [(1, run + " nine", "issue"), (2, "x " + run, "Review-Comment"), (3, run, "review comment"), (4, "one two", "issue"), (5, run, "glossary"), (6, run, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = rows(QUERIES["review_contamination"](spark, str(tmp_path)))
+    assert found == [(d, i, 1) for d in (1, 5, 6) for i in (2, 3)]
