@@ -84,9 +84,11 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
 
     A text within the limit is one piece; an empty one too. Each piece but the
     last ends in the second half of its permissible length at the strongest
-    boundary there; where there is none at all, at the limit. The next piece
+    boundary there; where there is none, at the strongest boundary before it that
+    lies behind the last cut; where there is none at all, at the limit. The next piece
     begins at the strongest boundary within ``overlap`` characters before the
-    cut, or exactly ``overlap`` before it where there is none.
+    cut, or exactly ``overlap`` before it where there is none; a piece too short
+    for that is followed from its end on.
     """
     if limit < 2 or not 0 <= overlap < limit // 2:
         raise ValueError("limit must be at least 2 and overlap less than half of it")
@@ -95,17 +97,21 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
         return [(0, n)]
     index = RangeMax(strengths(text))
     out = []
-    start = 0
+    start = end = 0
     while n - start > limit:
+        before = end
         end = index.rightmost(start + limit // 2 + 1, start + limit)
+        if index.values[end] == 0:
+            end = index.rightmost(before + 1, start + limit // 2)
         if index.values[end] == 0:
             end = start + limit
             if text[end - 1] == "\r" and text[end] == "\n":
                 end -= 1
         out.append((start, end))
-        if overlap:
-            back = index.rightmost(end - overlap, end - 1)
-            start = back if index.values[back] > 0 else end - overlap
+        low = max(end - overlap, start + 1)
+        if low < end:
+            back = index.rightmost(low, end - 1)
+            start = back if index.values[back] > 0 else low if low == end - overlap else end
         else:
             start = end
     out.append((start, n))

@@ -60,3 +60,12 @@ def test_operator(spark):
     d = sorted((r.chunk_index, r.line_start, r.line_end, r.lines_known) for r in got if r.key == "d")
     assert d[0][1:] == (1, d[0][2], False) and d[-1][2] == 400
     assert split.split_oversized(df.limit(0), "key", "text").count() == 0
+
+
+@pytest.mark.parametrize("lead", ["One sentence.\n\n", "A line of prose that is neither long nor short. " * 14 + "\n\n", "x "])
+def test_cut_before_a_run_without_boundaries(lead):
+    text = lead + "Qk3" * 1500 + "\n\nThe end of it."
+    p = split.pieces(text)
+    assert p[0] == (0, len(lead))
+    assert p[-1][1] == len(text) and all(0 < b - a <= 1800 for a, b in p)
+    assert all(b - 200 <= c <= b and d > b and c > a for (a, b), (c, d) in zip(p, p[1:]))
