@@ -26,13 +26,19 @@ _INLINE_SECTION = re.compile(r"^\s*(?:args?|arguments|parameters|params|returns|
 _TODO = re.compile(r"(?:^|(?<=[\s.!?。！？;,(]))(?:(?:TODO|FIXME|XXX|TBD|WIP|HACK)\b|(?:todo|fixme|xxx|tbd|wip|hack)\s*[(:]|^(?:[Pp]laceholder|PLACEHOLDER|Todo|Fixme)\b)")
 #: Beginnings of notes that only tools read.
 _TOOL = re.compile(
-    r"^\s*(?:noqa|nolint|nosec|noinspection|type:\s*ignore|pylint\s*:|pyright\s*:|mypy\s*:|flake8\s*:|ruff\s*:|isort\s*:|fmt\s*:|yapf\s*:|pragma\b|coverage\s*:|eslint\b|tslint\b|jshint\b|jslint\b|prettier-ignore|istanbul\b|c8\b|@ts-|ts-(?:ignore|nocheck|expect-error)|webpack\w*\s*:|sourcemappingurl|region\b|endregion\b|go:\w+|\+build\b|clippy\b|rustfmt\b|checkstyle\b|nopmd\b|spotbugs\b|sonar\b|suppress\w*|language=|-\*-|vim?:|generated (?:by|from|with|using)\b|code generated\b|machine generated\b|output of `|this (?:file|code) (?:was|is) (?:automatically )?generated\b|auto-?generated\b|do not (?:edit|modify)\b)",
+    r"^\s*(?:noqa|nolint|nosec|noinspection|type:\s*ignore|pylint\s*:|pyright\s*:|mypy\s*:|flake8\s*:|ruff\s*:|isort\s*:|fmt\s*:|yapf\s*:|pragma\b|coverage\s*:|eslint\b|tslint\b|jshint\b|jslint\b|prettier-ignore|istanbul\b|c8\b|@ts-|ts-(?:ignore|nocheck|expect-error)|webpack\w*\s*:|sourcemappingurl|#\s*(?:end)?region\b|(?-i:(?:end)?region)(?:\s+[\w-]+){0,2}\s*$|go:\w+|\+build\b|clippy\b|rustfmt\b|checkstyle\b|nopmd\b|spotbugs\b|sonar\b|@?suppress(?:warnings?|lint|message)?\s*[:(\[\"]|suppresswarnings\b|suppress[-_]\w+\s*$|suppress\s+(?:checkstyle|cpd|pmd|lint)\s*$|language=|-\*-|vim?:|generated (?:by|from|with|using)\b|code generated\b|machine generated\b|output of `|this (?:file|code) (?:was|is) (?:automatically )?generated\b|auto-?generated\b|do not (?:edit|modify)\b)",
     re.I,
 )
-_LICENCE = re.compile(r"\b(?:licen[sc]ed? (?:under|to)|copyright|\(c\) \d|all rights reserved|spdx-|licen[sc]e (?:file|terms)|permission is hereby granted)\b|©|自动生成|请勿(?:手动)?修改|(?:создан|сгенерирован)\S* автоматически|automatisch erzeugt", re.I)
+_LICENCE = re.compile(r"\b(?:licen[sc]ed? (?:under|to)|copyright|\(c\) \d|all rights reserved|spdx-|(?:see|refer to|consult) (?:the |our |its )?(?:\w+ )?licen[sc]e (?:file|terms)|(?:subject to|(?:governed|covered|bound) by|(?:re)?distributed|released|made available) [^.]*\blicen[sc]e (?:file|terms)|licen[sc]e that can be found in|permission is hereby granted)\b|©|自动生成|请勿(?:手动)?修改|(?:создан|сгенерирован)\S* автоматически|automatisch erzeugt", re.I)
+#: What may follow a request to write something without making it a description.
+_NO_MORE = (
+    r"(?:[\s,;:.!-]+(?:here|later|soon|now|please|before (?:the |next |this )*(?:release|merge|merging|review|commit)|(?:for|to|of|about|in) (?:(?:this|the) (?:function|method)|it)"
+    r"|(?:explaining |describing |about |on )?what (?:it|this)(?: function| method)? does|(?:when|once) (?:done|ready|finished|stable)"
+    r"|with (?:a |an |the |your )?(?:real|proper|actual|own|better|meaningful)(?: (?:one|text|description|documentation|docs|comment))?|and tests?))*[\s.!…)\]]*"
+)
 _EMPTY_PROMISE = re.compile(
     r"^(?:(?:no|missing) (?:documentation|description|docs|docstring|comment)s?\b.*|(?:documentation|description|docs|docstring|comment)s? (?:is |are )?(?:missing|goes? here|to be|will be|pending|not available|comes? later|follows?)\b.*"
-    r"|(?:add|fill in|write|insert|put|replace|complete|revisit) (?:the |a |an |this |some |your )?(?:documentation|description|docs|docstring|comment|text)\b.*|.*\bto be (?:filled in|written|documented|added|completed)\b.*|not (?:yet )?documented\b.*|lorem ipsum\b.*"
+    r"|(?:add|fill in|write|insert|put|replace|complete|revisit) (?:the |a |an |this |some |your )?(?:documentation|description|docs|docstring|comment|text)s?" + _NO_MORE + r"|.*\bto be (?:filled in|written|documented|added|completed)\b.*|not (?:yet )?documented\b.*|lorem ipsum\b.*"
     r"|(?:документаци|описани)\S* (?:будет|отсутств|нет|скоро|появится).*|(?:добавить|дописать|заполнить|написать) (?:документаци|описани|комментари)\S*.*|нет (?:документаци|описани)\S*.*|описание (?:функции )?отсутствует.*"
     r"|(?:документаці|опис)\S* (?:буде|відсутн|немає).*|(?:dokumentation|beschreibung) (?:fehlt|folgt|wird)\b.*|(?:documentación|descripción) (?:pendiente|falta|se añadirá)\b.*|(?:documentation|description) (?:manquante|à venir|à compléter)\b.*|(?:documentação|descrição) (?:pendente|em falta|será)\b.*"
     r"|.*(?:待补充|待完善|暂无(?:文档|说明|描述|注释)|稍后补充|文档缺失|以后再写|待添加).*)$",

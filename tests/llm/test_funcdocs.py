@@ -95,3 +95,16 @@ def test_operator(spark):
 )
 def test_words_of_other_languages_name_functions(lang, code, names):
     assert [f.name for f in codeparse.functions(code, lang)] == names
+
+
+@pytest.mark.parametrize(
+    ("doc", "fine"),
+    [
+        ("Suppress duplicate warnings before they reach the log", True), ("// Region of the map that holds all open cells", True), ("Insert text at the cursor and move it on", True),
+        ("Replace the text between two markers by another", True), ("Write the description of each row into the index", True), ("Reads the licence file of a package into memory", True),
+        ('SuppressWarnings("unchecked") because the cast is safe here', False), ("//#region Helpers of the cache and of the index", False), ("Add a description for this function here, please, before the next release.", False),
+        ("Insert text here later when ready, please, for this method", False), ("See the LICENSE file for all details of the terms", False), ("license that can be found in the LICENSE file of this tree", False),
+    ],
+)
+def test_notes_and_placeholders_need_their_syntax(doc, fine):
+    assert funcdocs.telling(doc, "f") is fine
