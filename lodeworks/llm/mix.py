@@ -2,9 +2,11 @@
 
 Tokens are added up per source, repetition rates follow from the target shares and
 the caps, and each document is emitted floor(rate) times plus one copy by a
-hash-seeded draw with the rate's fraction as probability. The draw's threshold is
-set on the tokens themselves (see :func:`draw_thresholds`): a plain draw leaves
-small sources off their share by chance.
+hash-seeded Bernoulli draw whose probability is the rate's fraction. Whether a document
+gets that copy depends on its key, the mixture, the seed and the rate alone. Sources of few
+documents miss their share by chance; :func:`shares` reports by how much and what
+deviation the draw makes one expect. ``balanced=True`` is another draw
+(see :func:`draw_thresholds`), which sets its thresholds on the tokens drawn.
 """
 
 from __future__ import annotations
@@ -33,10 +35,16 @@ def draw(key: str, mix: str, seed: int = SEED) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.col(mix), F.lit(seed)), F.lit(BUCKETS)).cast("int")
 
 
+def chance(key: str, mix: str, seed: int = SEED) -> Column:
+    """The document's draw as a number of [0, 1) in steps of 2^-53, from the same hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(mix), F.lit(seed)), 11) * F.lit(2.0**-53)
+
+
 def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """mix_name, source, share, tokens, docs, max_repeats, rate.
+    """mix_name, source, share, tokens, docs, max_repeats, rate, expected_sd.
 
-    sizes: source, tokens, docs. Shares are normalised over the sources of the mixture that
+    sizes: source, tokens, docs, squares (the sum of the squared sizes). ``expected_sd`` is the standard deviation of
+    the tokens that the Bernoulli draws give around rate x tokens. Shares are normalised over the sources of the mixture that
     hold any token; the mixture is made as large as the caps allow, so the tightest
     source is used ``max_repeats`` times and the others less. Rows of targets
     without a positive share or cap count as absent.
@@ -45,12 +53,14 @@ def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     t = t.groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     have = t.join(sizes.where("tokens > 0"), "source")
     per_mix = W.partitionBy("mix_name")
+    part = F.col("rate") - F.floor("rate")
     return (
         have.withColumn("share", F.col("target_share") / F.sum("target_share").over(per_mix))
         .withColumn("total", F.min(F.col("max_repeats") * F.col("tokens") / F.col("share")).over(per_mix))
         .withColumn("rate", F.least(F.col("max_repeats").cast("double"), F.col("share") * F.col("total") / F.col("tokens")))
         .withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate")))
-        .select("mix_name", "source", "share", "tokens", "docs", "max_repeats", "rate")
+        .withColumn("expected_sd", F.sqrt(part * (1 - part) * F.col("squares")))
+        .select("mix_name", "source", "share", "tokens", "docs", "max_repeats", "rate", "expected_sd")
     )
 
 
@@ -90,24 +100,29 @@ def draw_thresholds(docs: DataFrame, rate: DataFrame, seed: int = SEED) -> DataF
     return held.groupBy("mix_name", "source").applyInPandas(_thresholds, "mix_name string, source string, size_class int, threshold int")
 
 
-def mixture(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, seed: int = SEED, balanced: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, plan). docs: doc_id, source, n_tokens (see :func:`source_name`).
 
     rows: mix_name, doc_id, source, copy (from 1), n_tokens, one row per copy. Documents without
     source, or of a source the mixture does not name, are not used; those without
     tokens add nothing and are left out. Repeated documents count as different ones
-    with equal draws. Empty tables give empty results.
+    with equal draws. Empty tables give empty results. The plan has one row per mixture and named source
+    and is the only thing joined to the documents, which are never shuffled.
     """
     docs = docs.where("n_tokens > 0 and source is not null")
-    sizes = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
+    square = F.col("n_tokens").cast("double") * F.col("n_tokens")
+    sizes = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"), F.sum(square).alias("squares"))
     plan = cut(rates(sizes, targets))
-    limits = draw_thresholds(docs, plan, seed)
-    use = plan.select("mix_name", "source", "rate").join(limits, ["mix_name", "source"])
-    copies = F.floor("rate").cast("int") + F.when(draw("doc_id", "mix_name", seed) < F.col("threshold"), 1).otherwise(0)
+    use = plan.select("mix_name", "source", "rate")
+    if balanced:
+        use = use.join(draw_thresholds(docs, plan, seed), ["mix_name", "source"])
+        drawn = docs.withColumn("size_class", size_class()).join(use, ["source", "size_class"])
+        extra = draw("doc_id", "mix_name", seed) < F.col("threshold")
+    else:
+        drawn = docs.join(use, "source")
+        extra = chance("doc_id", "mix_name", seed) < F.col("rate") - F.floor("rate")
     rows = (
-        docs.withColumn("size_class", size_class())
-        .join(use, ["source", "size_class"])
-        .withColumn("copies", copies)
+        drawn.withColumn("copies", F.floor("rate").cast("int") + F.when(extra, 1).otherwise(0))
         .where("copies > 0")
         .select("mix_name", "doc_id", "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), "n_tokens")
     )
@@ -115,12 +130,17 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[Data
 
 
 def shares(rows: DataFrame, plan: DataFrame, targets: DataFrame) -> DataFrame:
-    """Wanted and reached share of every source of every mixture; absent sources reach 0."""
+    """Wanted and reached share of every source of every mixture; absent sources reach 0.
+
+    ``deviation`` is used tokens less rate x tokens, ``expected_sd`` its standard deviation under the Bernoulli draw,
+    ``z`` their ratio (null where nothing is left to chance).
+    """
     got = rows.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("used_tokens"), F.count("*").alias("copies"), F.max("copy").alias("most_copies"))
     named = targets.select("mix_name", source_name("source").alias("source"), "target_share", "max_repeats")
     per_mix = W.partitionBy("mix_name")
+    deviation = F.coalesce(F.coalesce("used_tokens", F.lit(0)) - F.col("rate") * F.col("tokens"), F.lit(0.0))
     return (
-        named.join(plan.select("mix_name", "source", "share", "rate", "tokens"), ["mix_name", "source"], "left")
+        named.join(plan.select("mix_name", "source", "share", "rate", "tokens", "expected_sd"), ["mix_name", "source"], "left")
         .join(got, ["mix_name", "source"], "left")
         .select(
             "mix_name", "source", "target_share", F.round(F.coalesce("share", F.lit(0.0)), 9).alias("wanted_share"),
@@ -128,5 +148,7 @@ def shares(rows: DataFrame, plan: DataFrame, targets: DataFrame) -> DataFrame:
             F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
             F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats",
             F.round(F.coalesce("rate", F.lit(0.0)), 9).alias("rate"),
+            F.round(deviation, 3).alias("deviation"), F.round(F.coalesce("expected_sd", F.lit(0.0)), 3).alias("expected_sd"),
+            F.round(F.when(F.col("expected_sd") > 0, deviation / F.col("expected_sd")), 4).alias("z"),
         )
     )

@@ -78,10 +78,10 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
 
 
-def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, sf: str, balanced: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf, "documents").select("doc_id", mix.source_name("source").alias("source"), "text")
     targets = table(spark, sf, "mix_targets")
-    return (*mix.mixture(cut(encode.count_tokens(docs, "text")), targets), targets)
+    return (*mix.mixture(cut(encode.count_tokens(docs, "text")), targets, balanced=balanced), targets)
 
 
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,6 +92,11 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix.shares(*_mixture(spark, sf))
 
 
+def p8_shares_balanced(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares that the balanced draw reaches, to compare with the Bernoulli draw of p8_shares."""
+    return mix.shares(*_mixture(spark, sf, balanced=True))
+
+
 def _languages(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     return langid.languages(docs, "doc_id", "text", "lang", langid.fit(docs, "doc_id", "text", "lang"))
@@ -123,6 +128,7 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p8_shares_balanced": p8_shares_balanced,
     "p9_found": p9_found,
     "p9_documents": p9_documents,
     "p9_segments": p9_segments,
