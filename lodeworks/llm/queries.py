@@ -66,12 +66,13 @@ def guard_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar others of every comparable vector, however far."""
     near = neighbours.nearest(guard_vectors(spark, sf), "id", "vector")
     return near.withColumn("cos", F.round("cos", 6))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbours.similar_pairs(neighbours.nearest(guard_vectors(spark, sf), "id", "vector"))
+    return neighbours.similar_pairs(neighbours.nearest(guard_vectors(spark, sf), "id", "vector", least=0.9))
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
