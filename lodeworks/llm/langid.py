@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,10 @@ MODELS = [*LANGUAGES, "ru-latn", "uk-latn"]
 ORDER = 5
 MIN_WORDS, MIN_HAN = 6, 12
 #: Bounds of the labelled sample that comes to the driver for training.
-TRAIN_DOCS, TRAIN_CHARS = 600, 250_000
+TRAIN_DOCS, TRAIN_DOC_CHARS, TRAIN_CHARS = 600, 20_000, 250_000
+#: Held-out sentences that a model needs to be calibrated by them.
+LEAST_HELD = 20
+SEED = 42
 
 #: Spellings of the languages' names and codes.
 NAMES = {
@@ -45,7 +48,8 @@ def named_language(label: Column) -> Column:
 # ---- text to sentences -------------------------------------------------------
 
 _EXT = r"(?:py|pyi|js|jsx|ts|tsx|mjs|go|rs|java|kt|c|h|cc|cpp|hpp|cs|rb|php|sh|bash|sql|json|ya?ml|toml|ini|cfg|md|rst|txt|csv|log|html?|css|xml|lock|parquet|db|so|dll|exe|zip|gz)"
-#: What is no prose. Alternatives share their anchors, so most places of a text fail one test only.
+#: What is no prose. Alternatives share their anchors, so most places of a text fail one test only; runs of
+#: words that no alternative can touch match as ``plain`` and stay.
 _MASK = re.compile(
     rf"""^(?: [ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t\r]*$|\Z)
         | [ \t]*\[?\d{{4}}-\d\d-\d\d[T ]\d\d:\d\d\S*\]?[ \t]+\[?(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL|FATAL)\b[^\n]*$
@@ -53,6 +57,7 @@ _MASK = re.compile(
         | [ \t]*(?:(?:let|var|const|mut|auto|final|self\.|this\.)[ \t]*)*[\w.]+(?:\[[^\]\n]*\])?(?:[ \t]*,[ \t]*[\w.]+)*[ \t]*(?::[ \t]*[\w<>\[\], ]+)?[ \t]*(?::=|[-+*/|&^%]?=)(?!=)[^\n]*$
         | [ \t]*(?:await[ \t]+)?[\w.:]+!?\([^\n]*$(?<![.!?。])
         | [ \t]*(?:return|if|elif|else|for|while|with|try|except|catch|finally|case|switch|match|do|end|raise|throw|assert|pass|break|continue)\b(?:[^\n.!?。]*:|[ \t]*[\w.\[\]()]*)[ \t\r]*$)
+    | (?P<plain>(?<!\w)(?:[^\W\d_][^\W\d_A-Z]*+[,;!?).:]?+[ ]++)++)
     | (?<!\w)(?=\w)(?: (?:https?|ftp|file|git|ssh)://\S+ | www\.\S+ | (?<![.+-])[\w.+-]{{1,64}}+@[\w.-]{{1,255}} | (?<![./\\-])(?=[\w/\\-]*+\.\w)[\w./\\-]*[\w-]\.{_EXT}(?::\d+)*\b
         | (?=[^\W_]*+_)\w*+ | [a-z]++[A-Z]\w* | [A-Z][a-z0-9]++[A-Z]\w* | \w++=\S+ | [^\W\d]*+\d(?:[\w.]*\w)? )
     | (?<![\w./\\-])[./\\-][\w./\\-]*[\w-]\.{_EXT}(?::\d+)*\b | --?[a-z][\w-]*
@@ -61,13 +66,25 @@ _MASK = re.compile(
     """,
     re.X | re.M | re.S,
 )
-_BREAK = re.compile(r"(?<![.!?…])[.!?…]+[\"'”»)\]]*(?=\s|$)|[。！？][”」』）)]*|\n[^\S\n]*\n|\n(?=[ \t]*(?:[-*+>#|•]|\d+[.)]|\[))|\|")
+#: Ends of sentences. All begin with one of few characters, so the scan skips from one to the next.
+_BREAK = re.compile(
+    r"[.!?…。！？\n|](?:(?<=[.!?…])(?<![.!?…][.!?…])[.!?…]*+[\"'”»)\]]*(?=\s|$)|(?<=[。！？])[”」』）)]*|(?<=\n)[^\S\n]*\n|(?<=\n)(?=[ \t]*(?:[-*+>#|•]|\d+[.)]|\[))|(?<=\|))"
+)
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ-][^\W\d_]+)*")
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 
 
-def _blank(m: re.Match[str]) -> str:
-    return re.sub(r"[^\n]", " ", m.group())
+def masked_text(text: str) -> str:
+    """The text with all that is no prose blanked, line ends and offsets kept."""
+    out, at = [], 0
+    for m in _MASK.finditer(text):
+        if m.lastgroup is None:
+            a, b = m.span()
+            gone = text[a:b]
+            out += text[at:a], " " * (b - a) if "\n" not in gone else re.sub(r"[^\n]", " ", gone)
+            at = b
+    out.append(text[at:])
+    return "".join(out)
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
@@ -76,7 +93,7 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     clean has names, code, log lines and quoted labels blanked. Six words are needed, or twelve
     Chinese characters. Offsets count code points of the text as it is.
     """
-    masked = _MASK.sub(_blank, text)
+    masked = masked_text(text)
     out, at = [], 0
     for m in [*_BREAK.finditer(masked), None]:
         a, b = at, m.end() if m else len(masked)
@@ -131,6 +148,28 @@ def codes(text: str) -> np.ndarray:
     return c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
 
 
+def coded(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one run of codes, each after order - 1 spaces; which codes count, and the text of each.
+
+    The counting codes of a text are those of :func:`codes` but for the space at its start.
+    """
+    whole = [t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in texts]
+    pad = " " * (order - 1)
+    points = np.frombuffer("".join(pad + t + " " for t in whole).encode("utf-32-le", "replace"), dtype=np.uint32)
+    c = _CODES[np.where(points < 0x10000, points, 0)]
+    lengths = np.array([len(t) + order for t in whole], dtype=np.int64)
+    owner = np.repeat(np.arange(len(whole)), lengths)
+    starts = np.cumsum(lengths) - lengths
+    lead = np.zeros(len(c), dtype=bool)
+    for k in range(order - 1):
+        lead[starts + k] = True
+    counts = c != 0
+    counts[1:] |= c[:-1] != 0
+    counts &= ~lead
+    stays = counts | lead
+    return c[stays], counts[stays], owner[stays]
+
+
 def grams(c: np.ndarray, n: int) -> np.ndarray:
     """Packed n-grams ending at each position, with spaces before the start."""
     key = np.zeros(len(c), dtype=np.uint64)
@@ -225,19 +264,19 @@ class Scorer:
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per character under each model, and the characters, of each text."""
-        coded = [codes(t) for t in texts]
-        if not coded:
-            return np.zeros((0, len(MODELS))), np.zeros(0)
-        # one run over all texts; a text's n-grams begin with the space that closes the one before
-        long = np.concatenate([np.zeros(self.order, np.uint8), *(np.append(c, np.zeros(self.order - 1, np.uint8)) for c in coded)])
-        keys = grams(long, self.order)
-        ends = np.cumsum([len(c) + self.order - 1 for c in coded])
-        starts = np.concatenate([[0], ends[:-1]]) + self.order
-        take = np.concatenate([np.arange(s + 1, s + len(c)) for s, c in zip(starts, coded, strict=True)])
-        sizes = np.array([len(c) - 1 for c in coded])
-        sums = np.add.reduceat(self.log2(keys[take]), np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-        return -sums / sizes[:, None], sizes
+        """Bits per character under each model, and the characters, of each text; 0 of both without letters."""
+        width = len(self.probs[0][1][0]) if len(self.probs[0][1]) else len(MODELS)
+        bits, sizes = np.zeros((len(texts), width)), np.zeros(len(texts), dtype=np.int64)
+        c, kept, owner = coded(texts, self.order)
+        take = np.nonzero(kept)[0]
+        if not len(take):
+            return bits, sizes
+        # texts of one corpus repeat their n-grams: each is looked up once
+        known, at = np.unique(grams(c, self.order)[take], return_inverse=True)
+        rows, first = np.unique(owner[take], return_index=True)
+        sizes[rows] = np.diff(np.append(first, len(take)))
+        bits[rows] = -np.add.reduceat(self.log2(known)[at], first, axis=0) / sizes[rows, None]
+        return bits, sizes
 
 
 #: Common romanisations of Cyrillic letters, for the models of Latin script.
@@ -263,15 +302,20 @@ class LanguageModel:
     def judge(self, texts: list[str]) -> list[tuple[str | None, float]]:
         """(language, confidence) of each sentence; the language is null where the best model's entropy is beyond its limit."""
         bits, sizes = self.scorer.entropies(texts)
-        out: list[tuple[str | None, float]] = []
-        for row, size in zip(bits, sizes, strict=True):
-            best = int(row.argmin())
-            lang = MODELS[best][:2]
-            # models of one language do not compete
-            rival = min(b for m, b in zip(MODELS, row, strict=True) if m[:2] != lang)
-            sure = 1.0 / (1.0 + 2.0 ** -min(60.0, self.slope * size * (rival - row[best])))
-            out.append((lang if row[best] <= self.limits[best] else None, float(sure)))
-        return out
+        best, margin = _decided(bits, sizes)
+        sure = 1.0 / (1.0 + np.exp2(-np.minimum(60.0, self.slope * margin)))
+        fits = bits[np.arange(len(bits)), best] <= self.limits[best]
+        return [(MODELS[m][:2] if ok and n else None, float(p)) for m, ok, n, p in zip(best, fits, sizes, sure, strict=True)]
+
+
+_OWNER = np.array([LANGUAGES.index(m[:2]) for m in MODELS])
+
+
+def _decided(bits: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best model of each row, and the bits by which the text as a whole is worse under the best model of another language."""
+    best = bits.argmin(axis=1)
+    rival = np.where(_OWNER[None, :] == _OWNER[best][:, None], np.inf, bits).min(axis=1) if len(bits) else np.zeros(0)
+    return best, (rival - bits[np.arange(len(bits)), best]) * sizes
 
 
 def _trained(by_lang: dict[str, list[str]]) -> Scorer:
@@ -303,10 +347,10 @@ def train(labelled: list[tuple[str, str]]) -> LanguageModel:
                 pool[lang].append(s)
                 sizes[lang] += len(s)
     scorer = _trained(seeds)
-    held: dict[str, list[np.ndarray]] = {m: [] for m in MODELS}
+    held_texts: dict[str, list[str]] = {}
     for _ in range(2):
         kept = {lang: list(seeds[lang]) for lang in LANGUAGES}
-        held_texts: dict[str, list[str]] = {m: [] for m in MODELS}
+        held_texts = {m: [] for m in MODELS}
         for lang, texts in pool.items():
             bits, _ = scorer.entropies(texts)
             size = 0
@@ -322,37 +366,103 @@ def train(labelled: list[tuple[str, str]]) -> LanguageModel:
         scorer = _trained(kept)
         for lang in ("ru", "uk"):
             held_texts[f"{lang}-latn"] = [romanised(t, k % len(_ROMAN), lang == "uk") for k, t in enumerate(held_texts[lang])]
-        held = {m: list(scorer.entropies(texts)[0][:, i]) for i, (m, texts) in enumerate(held_texts.items())}
-    # Typing errors and lost letters cost bits; what is beyond twice the usual is no sentence of the language.
+    # too few to calibrate by: what models of half of the seeds make of the other half stands in
+    few = {m for m in MODELS if len(held_texts[m]) < LEAST_HELD}
     halves = _trained({lang: texts[::2] for lang, texts in seeds.items()})
+    for m in few:
+        rest = seeds[m[:2]][1::2]
+        held_texts[m] = [romanised(t, k, m == "uk-latn") for t in rest for k in range(len(_ROMAN))] if "-" in m else rest
+    return calibrated(scorer, held_texts, lambda m: halves if m in few else scorer)
+
+
+def _shuffled(text: str, rnd: np.random.Generator) -> str:
+    """The same letters and gaps in another order."""
+    return "".join(text[i] for i in rnd.permutation(len(text)))
+
+
+def _fragments(text: str, rnd: np.random.Generator) -> list[str]:
+    """Runs of whole words of 1 to 6 words, in which languages are mistaken for each other."""
+    words = text.split()
+    out, at = [], 0
+    while at < len(words):
+        n = int(rnd.integers(1, 7))
+        out.append(" ".join(words[at : at + n]))
+        at += n
+    return out
+
+
+def calibrated(scorer: Scorer, held: dict[str, list[str]], measure: Callable[[str], Scorer]) -> LanguageModel:
+    """Limits of rejection and slope of the confidence from held-out sentences of each model.
+
+    The limit of a model lies halfway between what all but one in a thousand of its held-out sentences
+    reach and what all but one in a thousand of the same letters in random order exceed (for Chinese, whose
+    characters share one code, sentences of other languages). Where the two overlap the first holds. The slope
+    is the one of highest likelihood for the logistic curve of a right answer over the margin in
+    bits, on fragments of 1 to 6 words of the held-out sentences.
+    """
+    rnd = np.random.default_rng(SEED)
     limits = []
     for i, m in enumerate(MODELS):
-        own = np.array(held[m])
-        if len(own) >= 20:
-            limits.append(min(4.2, max(3.0, own.mean() * 1.6 + 0.6, own.max() + 0.3)))
-        else:
-            # too few to calibrate by: what half of the seeds makes of the other half
-            rest = seeds[m[:2]][1::2]
-            rest = [romanised(t, 0, m == "uk-latn") for t in rest] if "-" in m else rest
-            limits.append(float(halves.entropies(rest)[0][:, i].max()) + 0.2)
-    return LanguageModel(scorer, np.array(limits), 0.5)
+        own = measure(m).entropies(held[m])[0][:, i]
+        others = [t for o in MODELS if o[:2] != "zh" for t in held[o]] if m == "zh" else [_shuffled(t, rnd) for t in held[m]]
+        noise = measure(m).entropies(others)[0][:, i]
+        low, high = float(np.quantile(own, 0.999)), float(np.quantile(noise, 0.001))
+        limits.append((low + high) / 2 if low < high else low)
+    margins, right = [], []
+    for m, texts in held.items():
+        parts = [f for t in texts for f in _fragments(t, rnd)]
+        bits, sizes = measure(m).entropies(parts)
+        best, margin = _decided(bits, sizes)
+        margins.append(margin[sizes > 0])
+        right.append(_OWNER[best[sizes > 0]] == LANGUAGES.index(m[:2]))
+    x, y = np.concatenate(margins), np.concatenate(right)
+    return LanguageModel(scorer, np.array(limits), _slope(x, y))
+
+
+def _slope(x: np.ndarray, y: np.ndarray) -> float:
+    """Maximum likelihood of P(right) = 1 / (1 + 2^(-slope x)); its one parameter is bracketed and bisected."""
+    low, high = 1e-3, 10.0
+
+    def rise(slope: float) -> float:
+        p = 1.0 / (1.0 + np.exp2(-np.minimum(60.0, slope * x)))
+        return float(((y - p) * x).sum())
+
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if rise(middle) > 0 else (low, middle)
+    return (low + high) / 2
+
+
+def reliability(model: LanguageModel, labelled: list[tuple[str, str]], bins: int = 5) -> list[tuple[float, float, int]]:
+    """(mean confidence, share that is right, number) of labelled fragments in bins of equal number, by rising confidence."""
+    bits, sizes = model.scorer.entropies([t for _, t in labelled])
+    best, margin = _decided(bits, sizes)
+    sure = 1.0 / (1.0 + np.exp2(-np.minimum(60.0, model.slope * margin)))
+    right = np.array([MODELS[m][:2] == lang for m, (lang, _) in zip(best, labelled, strict=True)])
+    order = np.argsort(sure, kind="stable")
+    return [(float(sure[b].mean()), float(right[b].mean()), len(b)) for b in np.array_split(order, bins) if len(b)]
 
 
 # ---- over a corpus -----------------------------------------------------------
 
 
 def fit(df: DataFrame, key: str, text: str, label: str, train_docs: int = TRAIN_DOCS) -> LanguageModel:
-    """Trains on at most ``train_docs`` labelled documents per language, taken by the hash of their key."""
+    """Trains on at most ``train_docs`` labelled documents per language of 41 to ``TRAIN_DOC_CHARS`` characters, taken by the hash of their key.
+
+    At most train_docs x TRAIN_DOC_CHARS characters a language come to the driver; a repeated key counts once.
+    """
     from pyspark.sql import Window as W
 
     named = df.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.length(text).alias("n"), named_language(F.col(label)).alias("lang"), F.col(text).alias("t"))
+    named = named.where(f"lang is not null and n > 40 and n <= {TRAIN_DOC_CHARS}")
     # the rank needs keys and labels only; texts are joined to the few that are taken
-    pick = named.where("lang is not null and n > 40").select("h", "k", "lang").withColumn("salt", F.pmod("h", F.lit(32)))
+    pick = named.select("h", "k", "lang").withColumn("salt", F.pmod("h", F.lit(32)))
     per_salt = W.partitionBy("lang", "salt").orderBy("h", "k")
-    pick = pick.withColumn("r", F.row_number().over(per_salt)).where(F.col("r") <= train_docs)
+    pick = pick.withColumn("r", F.row_number().over(per_salt)).where(F.col("r") <= train_docs).select("lang", "h", "k").distinct()
     pick = pick.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "k"))).where(F.col("r") <= train_docs)
-    rows = pick.select("k", "lang", "h").join(named.select("k", "t"), "k").collect()
-    rows.sort(key=lambda r: (r["h"], str(r["k"]), r["t"]))
+    texts = named.select("k", "lang", "t").join(F.broadcast(pick.select("k", "lang", "h")), ["k", "lang"])  # at most 8 x train_docs keys
+    rows = texts.groupBy("h", "k", "lang").agg(F.max("t").alias("t")).collect()
+    rows.sort(key=lambda r: (r["h"], str(r["k"]), r["lang"]))
     return train([(r["lang"], r["t"]) for r in rows])
 
 
@@ -378,7 +488,7 @@ def _segment_batch(batches: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFr
                 owner.append(i)
                 spans.append((a, b))
                 size += len(s)
-                if size > 400_000:
+                if size > 100_000:
                     flush()
                     size = 0
         flush()
