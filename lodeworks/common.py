@@ -8,6 +8,7 @@ costs a re-read.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,10 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only where none is configured."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a private folder serves a local master. On a cluster that would be
+    another folder on every machine, so there it must be set.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = getattr(shared_dir, "made", None)
     if made is None:
         made = tempfile.mkdtemp(prefix="lodeworks-")
@@ -36,20 +43,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; all intermediate tables lie in it."""
+    return f"{shared_dir(spark)}/lodeworks/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application. To be called when the results that read them are written."""
+    remove_path(spark, session_dir(spark))
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     The returned frame carries its folder in ``cut_path`` so that loops can
-    drop the table of the previous round with :func:`drop_cut`.
+    drop the table of the previous round with :func:`drop_cut`; the others go with :func:`release`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodeworks/{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "lz4")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -1,15 +1,13 @@
-"""Inverted index, lexical scoring and the tiers of full-text search."""
+"""Lexical scoring of frames, Porter stems and phrases; :mod:`lodeworks.operators.inverted` keeps the stored index."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodeworks.functions.text import split_identifier, tokens
+from lodeworks.functions.text import tokens
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -60,7 +58,7 @@ def updated_postings(post: DataFrame, key: str, changed: DataFrame, text: str) -
     return post.join(changed.select(key).distinct(), key, "left_anti").unionByName(postings(changed, key, text))
 
 
-# ---- full text: BM25 over stems, substrings, fused tiers ----------------------
+# ---- stems and phrases ---------------------------------------------------------
 
 _VOWEL = re.compile(r"[aeiouy]")
 
@@ -134,43 +132,6 @@ def porter_stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf(T.StringType())
-def stem(words: pd.Series) -> pd.Series:
-    """Porter stems; each distinct word of a batch is stemmed once."""
-    return words.map({w: porter_stem(w) for w in words.dropna().unique()})
-
-
-def stemmed_postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, stem, tf, dl). Stems are taken of the distinct terms only, outside the hot path."""
-    each = docs.select(F.col(key), F.explode(tokens(text)).alias("term")).where("term <> ''")
-    tf = each.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    stems = tf.select("term").distinct().withColumn("stem", stem("term"))
-    by_stem = tf.join(stems, "term").groupBy(key, "stem").agg(F.sum("tf").alias("tf"))
-    sizes = by_stem.groupBy(key).agg(F.sum("tf").alias("dl"))
-    return by_stem.join(sizes, key)
-
-
-def bm25(post: DataFrame, key: str, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, key, score) of BM25; queries: (query_id, stem). Statistics cover all documents of ``post``."""
-    sizes = post.select(key, "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
-    q = queries.select("query_id", "stem").distinct()
-    hits = post.join(q.select("stem").distinct(), "stem", "left_semi")
-    df = hits.groupBy("stem").agg(F.count("*").alias("df"))
-    s = idf("df", "n") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    scored = hits.join(df, "stem").join(q, "stem").crossJoin(F.broadcast(sizes)).withColumn("s", s)
-    return scored.groupBy("query_id", key).agg(F.sum("s").alias("score"))
-
-
-def names_tier(chunks: DataFrame, key: str, name: str, queries: DataFrame) -> DataFrame:
-    """Tier 1: BM25 over the words of symbol names."""
-    return bm25(stemmed_postings(chunks, key, split_identifier(name)), key, queries)
-
-
-def docs_tier(chunks: DataFrame, key: str, docstring: str, queries: DataFrame) -> DataFrame:
-    """Tier 4: BM25 over docstrings."""
-    return bm25(stemmed_postings(chunks, key, F.col(docstring)), key, queries)
-
-
 def substring_tier(chunks: DataFrame, key: str, columns: list[str], phrases: DataFrame) -> DataFrame:
     """Tiers 2 and 3: rows that contain the phrase, case-insensitively, in any column.
 
@@ -187,19 +148,3 @@ def substring_tier(chunks: DataFrame, key: str, columns: list[str], phrases: Dat
 def stemmed_queries(spark, queries: dict[str, str]) -> DataFrame:
     rows = [(q, s) for q, text in queries.items() for s in {porter_stem(w) for w in re.findall(r"[^\W_]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text).lower())}]
     return spark.createDataFrame(rows, "query_id string, stem string")
-
-
-def full_text_search(chunks: DataFrame, key: str, name: str, text: str, docstring: str, queries: dict[str, str], k: int = 10) -> DataFrame:
-    """(query_id, key, score, rank): the four tiers fused by reciprocal rank, per chunk."""
-    from lodeworks.operators.fusion import fused, ranked
-
-    spark = chunks.sparkSession
-    stems = stemmed_queries(spark, queries)
-    phrases = spark.createDataFrame(list(queries.items()), "query_id string, phrase string")
-    tiers = [
-        names_tier(chunks, key, name, stems),
-        substring_tier(chunks, key, [name, text], phrases),
-        substring_tier(chunks, key, [text], phrases.where("length(phrase) >= 3")),
-        docs_tier(chunks, key, docstring, stems),
-    ]
-    return fused([ranked(t, "query_id", key) for t in tiers], "query_id", key, k)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeworks.common import cut, drop_cut, shared_dir
+from lodeworks.common import cut, drop_cut, session_dir
 
 #: Query vectors that are broadcast at once.
 MAX_QUERIES = 1000
@@ -47,7 +47,7 @@ def _in_blocks(queries: DataFrame, near: Callable[[DataFrame], DataFrame], most:
     spark = queries.sparkSession
     all_ = cut(queries)
     parts = -(-2 * all_.count() // most)
-    path = f"{shared_dir(spark)}/lodeworks/{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     for i in range(parts):
         found = near(all_.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i))
         found.write.mode("append").parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodeworks.common import cut
 from lodeworks.functions.text import expand_query, intent
 from lodeworks.operators import fusion, lexical, vector
+from lodeworks.operators.inverted import InvertedIndex, full_text_search
 
 
 @dataclass(frozen=True)
@@ -26,8 +27,8 @@ MODES = {"fast": Modes(use_text=False, diversify=False), "quality": Modes(), "de
 
 
 def over_fetch(limit: int, most: int = 30) -> int:
-    """Candidates taken per source."""
-    return min(max(limit * 2, 1), most)
+    """Candidates taken per source: twice the limit, ``most`` at the most, but never fewer than the limit."""
+    return max(limit, min(max(limit * 2, 1), most))
 
 
 def result_budget(files: int) -> int:
@@ -36,35 +37,44 @@ def result_budget(files: int) -> int:
 
 
 def hybrid_search(
-    chunks: DataFrame, queries: dict[str, str], query_vectors: DataFrame | None = None, mode: str = "quality", limit: int = 10, coupling: DataFrame | None = None,
+    index: InvertedIndex, queries: dict[str, str], query_vectors: DataFrame | None = None, mode: str = "quality", limit: int = 10, coupling: DataFrame | None = None,
     layer: str | None = None, since_us: int | None = None, trace: bool = False,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank), and with ``trace`` the rank in every stage.
 
-    chunks: chunk_id, file_path, symbol_name, text, docstring, layer, vector, at_us. query_vectors: (query_id, query_vector). In order: prefilter by layer,
-    the rankings of up to three variants of each query, reciprocal ranks, weight by kind of file, co-change, cut, diversity,
-    exact names first, one row per file and symbol, and last the bound in time.
+    index: of chunk_id with ``CHUNK_FIELDS``, and file_path, symbol_name, text, docstring, layer, vector, at_us stored.
+    query_vectors: (query_id, query_vector). In order: vectors prefiltered by layer, words by their stored postings and then
+    filtered by it, the rankings of up to three variants of each query, reciprocal ranks, weight by kind of file,
+    co-change, cut, diversity, exact names first, one row per file and symbol, and last the bound in time. Texts are
+    fetched for the fused rows only.
     """
-    spark = chunks.sparkSession
+    spark = index.spark
     m = MODES[mode]
-    base = chunks if layer is None else chunks.where(F.col("layer") == layer)
     k = over_fetch(limit)
+
+    def in_layer(hits: DataFrame) -> DataFrame:
+        if layer is None:
+            return hits
+        return hits.join(index.fetch(hits, ["layer"]).where(F.col("layer") == layer).select("chunk_id"), "chunk_id", "left_semi")
+
     lists = {}
     if query_vectors is not None:
-        near = vector.knn(base, "chunk_id", "vector", query_vectors, k)
+        base = index.docs().select("chunk_id", "layer", "vector")
+        near = vector.knn(base if layer is None else base.where(F.col("layer") == layer), "chunk_id", "vector", query_vectors, k)
         lists["vector"] = near.select("query_id", "chunk_id", "rank")
     if m.use_text:
         variants = {f"{q}\x1f{i}": v for q, text in queries.items() for i, v in enumerate(expand_query(text))}
-        hits = lexical.lexical_topk(base, "chunk_id", "text", lexical.query_terms(spark, variants), k)
+        hits = in_layer(index.lexical(lexical.query_terms(spark, variants), "text", k))
         own = hits.withColumn("query_id", F.element_at(F.split("query_id", "\x1f"), 1))
         best = own.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
         lists["lexical"] = fusion.ranked(best, "query_id", "chunk_id")
-        lists["full_text"] = lexical.full_text_search(base, "chunk_id", "symbol_name", "text", "docstring", queries, k).select("query_id", "chunk_id", "rank")
+        lists["full_text"] = in_layer(full_text_search(index, queries, k)).select("query_id", "chunk_id", "rank")
     if not lists:
         raise ValueError("fast mode needs query vectors")
     fused = cut(fusion.fused(list(lists.values()), "query_id", "chunk_id", 3 * k))
     q = spark.createDataFrame(list(queries.items()), "query_id string, query string").withColumn("intent", intent("query"))
-    at = fused.select("query_id", "chunk_id", "score").join(base.select("chunk_id", "file_path", "symbol_name", "text", "vector", "at_us"), "chunk_id").join(F.broadcast(q), "query_id")
+    stored = index.fetch(fused, ["file_path", "symbol_name", "text", "vector", "at_us"])
+    at = fused.select("query_id", "chunk_id", "score").join(stored, "chunk_id").join(q, "query_id")
     at = at.withColumn("score", F.round(F.col("score") * fusion.bucket_weight("file_path", F.col("intent")), 9))
     if coupling is not None:
         at = fusion.cochange_boost(at, coupling, "query_id", "chunk_id")
@@ -90,22 +100,22 @@ def hybrid_search(
     return out
 
 
-def deep_search(chunks: DataFrame, query: str, limit: int = 10, rounds: int = 3, terms: int = 3) -> DataFrame:
+def deep_search(index: InvertedIndex, query: str, limit: int = 10, rounds: int = 3, terms: int = 3) -> DataFrame:
     """Searches again with terms that the best five results share, until a round brings nothing new.
 
-    Returns (chunk_id, rank) fused over the rounds. What comes to the driver is a handful of terms a round.
+    index: of chunk_id with a field ``text`` of words, and text stored. Returns (chunk_id, rank) fused over the rounds. What comes to the driver is a handful of terms a round.
     """
     from lodeworks.functions.text import key_terms
 
-    spark = chunks.sparkSession
+    spark = index.spark
     seen: dict[str, str] = {}
     asked, text = 0, query
     lists = []
     while asked < rounds:
         asked += 1
-        hits = cut(lexical.lexical_topk(chunks, "chunk_id", "text", lexical.query_terms(spark, {"q": text}), over_fetch(limit)))
+        hits = cut(index.lexical(lexical.query_terms(spark, {"q": text}), "text", over_fetch(limit)))
         lists.append(hits.select("query_id", "chunk_id", "rank"))
-        words = hits.where("rank <= 5").join(chunks.select("chunk_id", "text"), "chunk_id").select(F.explode(key_terms("text")).alias("w"))
+        words = index.fetch(hits.where("rank <= 5"), ["text"]).select(F.explode(key_terms("text")).alias("w"))
         top = words.groupBy("w").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "w").limit(terms).collect()
         new = [r["w"] for r in top if r["w"] not in seen and r["w"] not in query.lower()]
         if not new:
@@ -122,12 +132,12 @@ def multi_search(chunks: DataFrame, query_vectors: DataFrame, project: str, limi
     return total.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= limit)
 
 
-def decomposed_search(chunks: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def decomposed_search(index: InvertedIndex, query: str, limit: int = 10) -> DataFrame:
     """Sub-queries in one job, their lists fused; (chunk_id, score, rank)."""
     from lodeworks.functions.text import decompose
 
     parts = {str(i): p for i, p in enumerate(decompose(query))}
-    hits = lexical.lexical_topk(chunks, "chunk_id", "text", lexical.query_terms(chunks.sparkSession, parts), over_fetch(limit))
+    hits = index.lexical(lexical.query_terms(index.spark, parts), "text", over_fetch(limit))
     return fusion.fused([hits.select(F.lit("all").alias("g"), "chunk_id", "rank")], "g", "chunk_id", limit).drop("g")
 
 

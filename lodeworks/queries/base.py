@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.common import counting_rows, micros_of, table
+from lodeworks.common import counting_rows, micros_of, path_exists, remove_path, session_dir, table
+from lodeworks.operators.inverted import CHUNK_FIELDS, Field, InvertedIndex
 
 NODE_COLUMNS = ["name", "label", "qualified_name", "file_path", "properties"]
 
@@ -34,6 +37,32 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("chunk_id", *[F.col(f"r.{c}").alias(c) for c in columns], F.col("_at").alias("at_us"))
 
 
+def _stored(spark: SparkSession, sf: str, name: str, build) -> InvertedIndex:
+    """The index of this name over these tables; the first query that needs it in a session builds it, the others read it."""
+    path = f"{session_dir(spark)}/index-{name}-{zlib.crc32(sf.encode()):08x}"
+    if path_exists(spark, f"{path}/stats/segment=0/_SUCCESS"):
+        return InvertedIndex.open(spark, path)
+    remove_path(spark, path)
+    return build(path)
+
+
+def document_index(spark: SparkSession, sf: str) -> InvertedIndex:
+    """Stored index over the texts of ``documents``."""
+    return _stored(spark, sf, "documents", lambda path: InvertedIndex.build(
+        table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), path, "chunk_id", {"text": Field("words", ("text",))}, ["text"]))
+
+
+def chunk_index(spark: SparkSession, sf: str) -> InvertedIndex:
+    """Stored index over the counting rows of fts5_index that have a text, with the smallest id's vector of their file."""
+
+    def build(path: str) -> InvertedIndex:
+        guard = table(spark, sf, "index_guard").where("size(vector) = 64").groupBy("file_path").agg(F.min_by("vector", "id").alias("vector"))
+        rows = chunks(spark, sf).join(guard, "file_path", "left").where("text is not null")
+        return InvertedIndex.build(rows, path, "chunk_id", CHUNK_FIELDS, ["file_path", "symbol_name", "text", "docstring", "layer", "vector", "at_us"])
+
+    return _stored(spark, sf, "chunks", build)
+
+
 def guard_files(spark: SparkSession, sf: str) -> DataFrame:
     """Counting file rows of index_guard: file_path, file_hash, text_full."""
     rows = table(spark, sf, "index_guard")

@@ -179,13 +179,13 @@ def set_ops(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream through hourly windows; what the sink holds in the end."""
-    from lodeworks.common import shared_dir
+    from lodeworks.common import session_dir
     from lodeworks.streaming.events import rolling_metrics
     import uuid
 
     source = spark.readStream.schema(table(spark, sf, "events").schema).parquet(sf, pathGlobFilter="events.parquet")
     stream = rolling_metrics(source.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", "1 hour")
-    at = f"{shared_dir(spark)}/lodeworks/{uuid.uuid4().hex}"
+    at = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "tool", "calls", F.round("mean", 6).alias("mean"))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeworks.common import table
+from lodeworks.common import session_dir, table
 from lodeworks.functions import text as tx
-from lodeworks.operators import fusion, lexical, vector
+from lodeworks.operators import fusion, inverted, lexical, vector
 from lodeworks.plans import search
-from lodeworks.queries.base import CHUNKS_SQL, TOKENS, chunks
+from lodeworks.queries.base import CHUNKS_SQL, TOKENS, chunk_index, chunks, document_index
 
 #: The questions that the retrieval queries ask.
 QUESTIONS = {"q1": "vector store limit", "q2": "graph loader ignores files", "q3": "dependency cache reindex", "q4": "файлы больше памяти"}
@@ -20,8 +21,7 @@ NAMES = {"n1": "merge_rank", "n2": "filter", "n3": "BatchDigest"}
 
 
 def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return lexical.lexical_topk(docs, "doc_id", "text", lexical.query_terms(spark, QUESTIONS), 20)
+    return document_index(spark, sf).lexical(lexical.query_terms(spark, QUESTIONS), "text", 20).withColumnRenamed("chunk_id", "doc_id")
 
 
 def identifier_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,11 +99,11 @@ def exact_boost_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 def substring_search(spark: SparkSession, sf: str) -> DataFrame:
     asks = spark.createDataFrame(list(NAMES.items()), "query_id string, phrase string")
-    return lexical.substring_tier(chunks(spark, sf), "chunk_id", ["symbol_name", "text"], asks).select("query_id", "chunk_id")
+    return chunk_index(spark, sf).containing(asks, "grams", ["symbol_name", "text"]).drop("within")
 
 
 def full_text_search(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.full_text_search(chunks(spark, sf), "chunk_id", "symbol_name", "text", "docstring", NAMES | {"n4": "stored offsets"}, 10)
+    return inverted.full_text_search(chunk_index(spark, sf), NAMES | {"n4": "stored offsets"}, 10)
 
 
 def mmr_rerank(spark: SparkSession, sf: str, vectors=_vectors) -> DataFrame:
@@ -130,33 +130,39 @@ def query_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return names.select("query", tx.intent("query").alias("intent"), tx.complexity("query").alias("complexity"), tx.is_identifier("query").alias("identifier"))
 
 
-def _search_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = chunks(spark, sf)
-    guard = table(spark, sf, "index_guard").where("size(vector) = 64").groupBy("file_path").agg(F.min_by("vector", "id").alias("vector"))
-    rows = rows.join(guard, "file_path", "left").where("text is not null")
-    ask = guard.orderBy("file_path").limit(3).select(F.concat(F.lit("q"), F.row_number().over(W.orderBy("file_path"))).alias("query_id"), F.col("vector").alias("query_vector"))
-    return rows, ask
+def _query_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors of the first three files, by path."""
+    guard = table(spark, sf, "index_guard").where("size(vector) = 64").groupBy("file_path").agg(F.min_by("vector", "id").alias("vector")).orderBy("file_path").limit(3)
+    return guard.select(F.concat(F.lit("q"), F.row_number().over(W.orderBy("file_path"))).alias("query_id"), F.col("vector").alias("query_vector"))
 
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    rows, ask = _search_rows(spark, sf)
-    return search.hybrid_search(rows, {k: QUESTIONS[k] for k in ("q1", "q2", "q3")}, ask, trace=True)
+    return search.hybrid_search(chunk_index(spark, sf), {k: QUESTIONS[k] for k in ("q1", "q2", "q3")}, _query_vectors(spark, sf), trace=True)
 
 
 def deep_search(spark: SparkSession, sf: str) -> DataFrame:
-    return search.deep_search(table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), "text"), "graph loader limit")
+    return search.deep_search(document_index(spark, sf), "graph loader limit")
 
 
 def decomposed_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.decomposed_search(document_index(spark, sf), "vector store limit and dependency cache; nightly reindex")
+
+
+def updated_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The same questions after every tenth document changed its text and every tenth other one was removed."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return search.decomposed_search(docs, "vector store limit and dependency cache; nightly reindex")
+    path = f"{session_dir(spark)}/index-{uuid.uuid4().hex}"
+    index = inverted.InvertedIndex.build(docs, path, "chunk_id", {"text": inverted.Field("words", ("text",))}, ["text"])
+    index.add(docs.where("chunk_id % 10 = 3").withColumn("text", F.concat(F.lit("nightly limit of the vector "), F.coalesce("text", F.lit("")))))
+    index.remove(docs.where("chunk_id % 10 = 4"))
+    return index.lexical(lexical.query_terms(spark, QUESTIONS), "text", 20).withColumnRenamed("chunk_id", "doc_id")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         lexical_topk, identifier_split, token_savings, vector_knn, vector_knn_per_label, cross_project_search, rrf_three_way, weighted_fusion, bucket_weight, exact_boost_dedupe,
-        substring_search, full_text_search, mmr_rerank, context_search, score_floor, query_kinds, hybrid_search, deep_search, decomposed_search,
+        substring_search, full_text_search, mmr_rerank, context_search, score_floor, query_kinds, hybrid_search, deep_search, decomposed_search, updated_search,
     )
 }
 
@@ -171,9 +177,9 @@ _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in QUESTIONS.items())
 _NAMES = ", ".join(f"('{k}', '{v}')" for k, v in NAMES.items())
 
 
-def _topk_sql(values: str, k: int) -> str:
+def _topk_sql(values: str, k: int, documents: str = "") -> str:
     return f"""
-    WITH asks(query_id, q) AS (VALUES {values}),
+    WITH {documents} asks(query_id, q) AS (VALUES {values}),
     terms AS (SELECT DISTINCT query_id, t AS term FROM asks, unnest({TOKENS.format(c="q")}) AS u(t) WHERE t <> ''),
     post AS (SELECT doc_id, t AS term, count(*) AS tf FROM documents, unnest({TOKENS.format(c="text")}) AS u(t) WHERE text IS NOT NULL GROUP BY ALL),
     n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
@@ -190,8 +196,41 @@ _RANKS = """rows AS (SELECT coalesce(project, '') AS g, doc_id, coalesce(length(
 
 _WORDS = r"string_split_regex(regexp_replace(regexp_replace(regexp_replace(name, '::|->|\.|_', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '\s+')"
 
+#: The words that share a stem with a word of the questions of full_text_search, spelled out.
+_FORMS = [
+    ("n1", "merg(e|es|ed|ing)"), ("n1", "rank(s|ed|ing|ings)?"), ("n2", "filter(s|ed|ing|ings)?"), ("n3", "batch(es|ed|ing)?"), ("n3", "digest(s|ed|ing)?"),
+    ("n4", "stor(e|es|ed|ing)"), ("n4", "offset(s|ted|ting)?"),
+]
+
+
+def _bm25_sql(tier: str, text: str) -> str:
+    """CTEs that end in ``tier`` (query_id, chunk_id, rank)."""
+    return f"""{tier}_t AS (SELECT chunk_id, t FROM w, unnest({TOKENS.format(c=text)}) AS u(t) WHERE t <> ''),
+    {tier}_d AS (SELECT chunk_id, count(*) AS dl FROM {tier}_t GROUP BY ALL), {tier}_n AS (SELECT count(*) AS n, avg(dl) AS avg_dl FROM {tier}_d),
+    {tier}_f AS (SELECT query_id, form, chunk_id, count(*) AS tf FROM {tier}_t JOIN forms ON regexp_full_match(t, form) GROUP BY ALL),
+    {tier}_df AS (SELECT query_id, form, count(*) AS df FROM {tier}_f GROUP BY ALL),
+    {tier}_s AS (SELECT query_id, chunk_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_dl))), 9) AS score
+      FROM {tier}_f JOIN {tier}_df USING (query_id, form) JOIN {tier}_d USING (chunk_id), {tier}_n GROUP BY ALL),
+    {tier} AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {tier}_s)"""
+
+
+_FUSED = """t AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ({lists}) GROUP BY ALL),
+  o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM t) SELECT * FROM o WHERE rank <= 10"""
+_ASKED = _NAMES + ", ('n4', 'stored offsets')"
+_PHRASE = "row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM w, asks WHERE contains(lower({hay}), lower(phrase))"
+
 ORACLES = {
+    "full_text_search": f"""WITH {CHUNKS_SQL}, w AS (SELECT * FROM c WHERE text IS NOT NULL), asks(query_id, phrase) AS (VALUES {_ASKED}), forms(query_id, form) AS (VALUES {", ".join(map(str, _FORMS))}),
+    names AS (SELECT chunk_id, {_WORDS.replace("name", "symbol_name")} AS x FROM w WHERE symbol_name IS NOT NULL),
+    {_bm25_sql("a", "nm").replace("FROM w,", "FROM (SELECT chunk_id, array_to_string(list_concat(x, [lower(y) FOR y IN x IF lower(y) <> y]), ' ') AS nm FROM names) AS w,")},
+    {_bm25_sql("d", "docstring")},
+    b AS (SELECT query_id, chunk_id, {_PHRASE.format(hay="concat_ws(chr(10), symbol_name, text)")}), e AS (SELECT query_id, chunk_id, {_PHRASE.format(hay="text")}),
+    {_FUSED.format(lists="FROM a UNION ALL FROM b UNION ALL FROM e UNION ALL FROM d")}""",
+    "decomposed_search": f"""WITH x AS ({_topk_sql("('1', 'vector store limit'), ('2', 'dependency cache'), ('3', 'nightly reindex')", 20)}),
+    y AS (SELECT 'all' AS query_id, doc_id AS chunk_id, rank FROM x), {_FUSED.format(lists="FROM y")}""".replace("SELECT * FROM o", "SELECT chunk_id, score, rank FROM o"),
     "lexical_topk": _topk_sql(_VALUES, 20),
+    "updated_search": _topk_sql(_VALUES, 20, """documents AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'nightly limit of the vector ' || coalesce(text, '') ELSE text END AS text
+        FROM main.documents WHERE doc_id % 10 <> 4),"""),
     "identifier_split": f"""SELECT name, array_to_string(list_concat(w, [lower(x) FOR x IN w IF lower(x) <> x]), ' ') AS words
         FROM (SELECT name, [x FOR x IN {_WORDS} IF x <> ''] AS w FROM (SELECT DISTINCT name FROM graph_nodes WHERE name IS NOT NULL))""",
     "token_savings": "SELECT project, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens, count(*) AS docs FROM documents WHERE text IS NOT NULL GROUP BY project",

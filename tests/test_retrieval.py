@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.functions import text as tx
-from lodeworks.operators import fusion, lexical, vector
+from lodeworks.operators import fusion, inverted, lexical, vector
 from lodeworks.plans import search
 from lodeworks.queries import retrieval
 
@@ -53,13 +53,64 @@ def test_porter(word, stem):
     assert lexical.porter_stem(word) == stem
 
 
-def test_full_text(spark):
+def test_full_text(spark, tmp_path):
     rows = [("a", "hybrid_search", "def hybrid_search(): pass", "Searching of everything"), ("b", "build_index", "def build_index(): pass", None), ("c", "", "calls build_index", "indexes are built")]
-    chunks = spark.createDataFrame(rows, "id string, n string, t string, d string")
-    got = lexical.full_text_search(chunks, "id", "n", "t", "d", {"q": "hybrid_search", "r": "build_index"}).collect()
+    chunks = spark.createDataFrame(rows, "id string, symbol_name string, text string, docstring string")
+    index = inverted.InvertedIndex.build(chunks, f"{tmp_path}/i", "id", inverted.CHUNK_FIELDS, ["text"], buckets=3)
+    got = inverted.full_text_search(index, {"q": "hybrid_search", "r": "build_index"}).collect()
     first = {r.query_id: r.id for r in got if r["rank"] == 1}
     assert first == {"q": "a", "r": "b"}
     assert {r.id for r in got if r.query_id == "q"} == {"a"}
+    asks = spark.createDataFrame([("x", "()"), ("y", "BUILD_"), ("z", "nowhere"), ("e", ""), ("n", None)], "query_id string, phrase string")
+    assert sorted(map(tuple, index.containing(asks, "grams", ["symbol_name", "text"]).drop("within").collect())) == [("x", "a"), ("x", "b"), ("y", "b"), ("y", "c")]
+
+
+def test_bm25_against_brute_force(spark, tmp_path):
+    rnd = random.Random(4)
+    texts = {i: " ".join(rnd.choices(["index", "indexes", "vector", "stores", "graph", "Graph"], k=rnd.randint(0, 9))) for i in range(60)}
+    docs = spark.createDataFrame([*texts.items(), (99, None)], "id bigint, t string")
+    index = inverted.InvertedIndex.build(docs, f"{tmp_path}/i", "id", {"d": inverted.Field("stems", ("t",))}, [], buckets=2)
+    asks = spark.createDataFrame([("a", "index"), ("a", "graph"), ("b", "store"), ("c", "absent")], "query_id string, stem string")
+    bags = {i: [lexical.porter_stem(w) for w in t.lower().split()] for i, t in texts.items() if t}
+    n, avg = len(bags), sum(map(len, bags.values())) / len(bags)
+    want = {}
+    for q, s in (("a", "index"), ("a", "graph"), ("b", "store")):
+        df = sum(s in b for b in bags.values())
+        for i, b in bags.items():
+            tf = b.count(s)
+            if tf:
+                want[q, i] = want.get((q, i), 0) + math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(b) / avg))
+    assert {(r.query_id, r.id): r.score for r in index.bm25(asks, ["d"]).collect()} == pytest.approx(want)
+
+
+def test_index_upkeep_equals_a_new_index(spark, tmp_path):
+    field = {"t": inverted.Field("words", ("t",))}
+    docs = spark.createDataFrame([(1, "red fish"), (2, "red dog"), (3, None), (4, ""), (5, "cat red"), (None, "red")], "id bigint, t string")
+    index = inverted.InvertedIndex.build(docs, f"{tmp_path}/a", "id", field, ["t"], buckets=4)
+    index.add(spark.createDataFrame([(2, "blue cat"), (7, "red red")], "id bigint, t string")).remove(spark.createDataFrame([(5,), (77,)], "id bigint"))
+    index.add(spark.createDataFrame([(7, "fish")], "id bigint, t string"))
+    now = spark.createDataFrame([(1, "red fish"), (2, "blue cat"), (3, None), (4, ""), (7, "fish")], "id bigint, t string")
+    fresh = inverted.InvertedIndex.build(now, f"{tmp_path}/b", "id", field, ["t"], buckets=7)
+    asks = lexical.query_terms(spark, {"x": "red cat", "y": "fish", "z": "none"})
+    for one_ in (index, inverted.InvertedIndex.open(spark, f"{tmp_path}/a"), index.compact(f"{tmp_path}/c")):
+        assert sorted(map(tuple, one_.docs().select("id", "t").collect()), key=repr) == sorted(map(tuple, now.collect()), key=repr)
+        assert sorted(map(tuple, one_.lexical(asks, "t", 9).collect())) == sorted(map(tuple, fresh.lexical(asks, "t", 9).collect())) != []
+        assert one_.totals().collect() == fresh.totals().collect()
+    assert sorted(map(tuple, lexical.lexical_topk(now, "id", "t", asks, 9).collect())) == sorted(map(tuple, fresh.lexical(asks, "t", 9).collect()))
+    # a segment whose writing broke off does not count
+    fresh.spark.read.parquet(f"{tmp_path}/b/docs/segment=0").write.partitionBy("bucket").parquet(f"{tmp_path}/b/docs/segment=1")
+    assert fresh.docs().count() == 5
+    empty = inverted.InvertedIndex.build(docs.limit(0), f"{tmp_path}/e", "id", field, ["t"])
+    assert empty.lexical(asks, "t", 3).count() == 0 and empty.fetch(now, ["t"]).count() == 0
+
+
+def test_a_search_reads_the_buckets_of_its_terms_only(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i % 50} common") for i in range(300)], "id bigint, t string")
+    index = inverted.InvertedIndex.build(docs, f"{tmp_path}/i", "id", {"t": inverted.Field("words", ("t",))}, [], buckets=32)
+    hits = index.hits(spark.createDataFrame([("t", "w7")], "field string, term string"))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1][:200] and "w7" in plan.split("PushedFilters")[1][:300]
+    assert hits.count() == 6
 
 
 def test_fusion(spark, rows):
@@ -101,15 +152,16 @@ def test_mmr_prefers_the_different(spark):
     assert [r.k for r in fusion.mmr(c, "g", "k", 3).orderBy("rank").collect()] == [1, 3, 2]
 
 
-def test_hybrid_pipeline(spark):
+def test_hybrid_pipeline(spark, tmp_path):
     rows = [(f"c{i}", f"p/f{i}.py", f"fn_{i}", f"def fn_{i}(): load rows {i}", "loads", "core", [float(i), 1.0], i) for i in range(12)] + [("doc", "p/r.md", "fn_3", "fn_3 is described", None, "docs", [3.0, 1.0], 5)]
     chunks = spark.createDataFrame(rows, "chunk_id string, file_path string, symbol_name string, text string, docstring string, layer string, vector array<float>, at_us bigint")
     q = spark.createDataFrame([("q", [3.0, 1.0])], "query_id string, query_vector array<float>")
+    chunks = inverted.InvertedIndex.build(chunks, f"{tmp_path}/i", "chunk_id", inverted.CHUNK_FIELDS, chunks.columns, buckets=4)
     got = search.hybrid_search(chunks, {"q": "fn_3"}, q, limit=5, trace=True).orderBy("rank").collect()
     assert got[0].chunk_id == "c3" and got[0].boosted and len(got) <= 5
     fast = search.hybrid_search(chunks, {"q": "fn_3"}, q, mode="fast", limit=3, layer="core", since_us=2).collect()
     assert fast and all(r.chunk_id.startswith("c") for r in fast)
-    assert search.over_fetch(10) == 20 and search.over_fetch(50) == 30 and search.result_budget(10) == 4
+    assert search.over_fetch(10) == 20 and search.over_fetch(50) == 50 and search.result_budget(10) == 4
     deep = search.deep_search(chunks, "load rows", limit=4).collect()
     assert len(deep) == 4
 
