@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 LIMIT = 1800
 OVERLAP = 200
+#: Characters that one table of boundary strengths covers.
+STRIDE = 1 << 18
 
 # strengths, weakest first; a boundary lies before the character at its position
 _WORD, _CLAUSE, _SENTENCE, _LINE, _DEF, _BLANK, _BLANK_DEF = 1, 2, 3, 4, 5, 6, 7
@@ -59,16 +61,20 @@ def strengths(text: str) -> np.ndarray:
 
 
 class RangeMax:
-    """Sparse table: position of the rightmost maximum of any range in constant time."""
+    """Sparse table: position of the rightmost maximum of any range of up to ``widest`` values in constant time.
 
-    def __init__(self, values: np.ndarray) -> None:
+    A level for each power of two up to ``widest`` is kept, so the table's size per value does not depend on their number.
+    """
+
+    def __init__(self, values: np.ndarray, widest: int) -> None:
         self.values = values
-        n = len(values)
-        self.rows = [np.arange(n, dtype=np.int32)]
+        n = min(len(values), widest)
+        self.rows = [np.arange(len(values), dtype=np.int32)]
         width = 1
         while 2 * width <= n:
             last = self.rows[-1]
-            a, b = last[: n - 2 * width + 1], last[width : n - width + 1]
+            m = len(values)
+            a, b = last[: m - 2 * width + 1], last[width : m - width + 1]
             self.rows.append(np.where(values[a] > values[b], a, b))
             width *= 2
 
@@ -79,6 +85,17 @@ class RangeMax:
         return a if self.values[a] > self.values[b] else b
 
 
+class _Window(RangeMax):
+    """A table over the part of the text that begins at ``base``; positions are those of the text."""
+
+    def __init__(self, values: np.ndarray, base: int, widest: int) -> None:
+        super().__init__(values, widest)
+        self.base = base
+
+    def rightmost(self, lo: int, hi: int) -> int:
+        return super().rightmost(lo - self.base, hi - self.base) + self.base
+
+
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Spans of consecutive pieces of at most ``limit`` code points.
 
@@ -95,15 +112,19 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     n = len(text)
     if n <= limit:
         return [(0, n)]
-    index = RangeMax(strengths(text))
     out = []
     start = end = 0
+    # the table slides along: it covers STRIDE characters at a time, and what a piece may need beyond them
+    whole, base, index = strengths(text), 0, None
     while n - start > limit:
         before = end
+        if index is None or start + limit >= base + len(index.values):
+            base = max(0, start - overlap)
+            index = _Window(whole[base : base + STRIDE + 3 * limit], base, limit)
         end = index.rightmost(start + limit // 2 + 1, start + limit)
-        if index.values[end] == 0:
+        if whole[end] == 0:
             end = index.rightmost(before + 1, start + limit // 2)
-        if index.values[end] == 0:
+        if whole[end] == 0:
             end = start + limit
             if text[end - 1] == "\r" and text[end] == "\n":
                 end -= 1
@@ -111,7 +132,7 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
         low = max(end - overlap, start + 1)
         if low < end:
             back = index.rightmost(low, end - 1)
-            start = back if index.values[back] > 0 else low if low == end - overlap else end
+            start = back if whole[back] > 0 else low if low == end - overlap else end
         else:
             start = end
     out.append((start, n))

@@ -8,15 +8,25 @@ from lodeworks.llm import split
 
 def test_range_max_against_brute_force():
     rnd = random.Random(0)
-    for n in (1, 2, 7, 64, 131):
+    for n, widest in ((1, 1), (2, 9), (7, 7), (64, 64), (131, 200), (131, 20), (90, 1)):
         v = np.array([rnd.randrange(4) for _ in range(n)], dtype=np.int8)
-        index = split.RangeMax(v)
+        index = split.RangeMax(v, widest)
+        assert len(index.rows) <= widest.bit_length()
         for lo in range(n):
-            for hi in range(lo, n):
+            for hi in range(lo, min(n, lo + widest)):
                 best = max(range(lo, hi + 1), key=lambda i: (v[i], i))
                 assert index.rightmost(lo, hi) == best
 
 
+def test_a_sliding_table_gives_the_same_pieces(monkeypatch):
+    rnd = random.Random(9)
+    text = " ".join(rnd.choice(["alpha", "x.", "\n", "\n\n", "def f():", "a" * 300, "\r\n"]) for _ in range(4000))
+    want = {limit: split.pieces(text, limit, limit // 9) for limit in (60, 500, 1800)}
+    for stride in (1, 700, 5000):
+        monkeypatch.setattr(split, "STRIDE", stride)
+        assert {limit: split.pieces(text, limit, limit // 9) for limit in want} == want
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pieces_cover_overlap_and_fit(seed):
     rnd = random.Random(seed)
