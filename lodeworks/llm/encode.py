@@ -1,9 +1,9 @@
 """Encoding a corpus with a public byte-level tokenizer.
 
 A text within ``LEAF_CHARS`` is encoded in place. A longer one is cut into leaves that
-are encoded in parallel; the leaves' ids are concatenated pairwise as a tree,
-and around each join a growing window is encoded again until both sides agree
-with it exactly (see :func:`join_ids`). The result equals encoding the text at once.
+are encoded in parallel; the leaves' ids are concatenated pairwise as a tree, whose lower
+levels lie in tasks of ``FAN`` leaves and whose upper ones in one task a text. Around each join a growing window is
+encoded again until both sides agree with it exactly (see :func:`join_ids`). The result equals encoding the text at once.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 TOKENIZER_DIR = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 LEAF_CHARS = 8192
+#: Leaves that one task joins before their nodes meet.
+FAN = 64
 
 #: Fixed value: the pre-tokenizer's pattern of this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -64,37 +67,63 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _count(e: Encoder, ids: np.ndarray, size: int) -> int | None:
+    """How many of the first ids have ``size`` bytes together; None if no token ends there."""
+    ends = np.cumsum(e.sizes[ids[: size + 1]])
+    at = int(np.searchsorted(ends, size))
+    return 0 if size == 0 else at + 1 if at < len(ends) and ends[at] == size else None
+
+
+def _count_back(e: Encoder, ids: np.ndarray, size: int) -> int | None:
+    return _count(e, ids[-size - 1 :][::-1], size)
+
+
 def join_ids(e: Encoder, a: str, ia: np.ndarray, b: str, ib: np.ndarray) -> np.ndarray:
     """Ids of a + b from the exact ids of both.
 
-    The window around the join grows to a place on either side where the pattern always
-    splits; there the ids outside cannot change. Inside one long run of letters there
-    is no such place: there the window grows by tokens until its first and last
-    token agree with their neighbours outside, for a sequence in which all
-    neighbours agree is the encoding of its bytes.
+    A window around the join is encoded again. Its ends lie at places where the pattern always splits, and the
+    window is accepted when, from its end to the next such place inside, its tokens are those that the side has
+    there already, on both sides; else it grows. A side that is shorter than the window
+    takes part whole. Inside one long run of letters there is no such place: there the window grows by
+    tokens until its first and last token agree with their neighbours outside, for a sequence in
+    which all neighbours agree is the encoding of its bytes.
     """
     if not a or not b:
         return np.concatenate([ia, ib])
     span = 64
     while True:
         tail, head = a[-span:], b[:span]
-        from_ = max((m.start() for m in _SAFE.finditer(tail) if m.start() > 0), default=None)
-        to = next((m.start() for m in _SAFE.finditer(head) if m.start() > 0), None)
-        whole_a, whole_b = span >= len(a), span >= len(b)
-        if (from_ is not None or whole_a) and (to is not None or whole_b):
-            left = tail[from_:] if from_ is not None else a
-            right = head[:to] if to is not None else b
-            drop_a, drop_b = len(left.encode()), len(right.encode())
-            keep = np.searchsorted(np.cumsum(e.sizes[ia]), sum(map(len, (a.encode(),))) - drop_a, "right") if left is not a else 0
-            skip = np.searchsorted(np.cumsum(e.sizes[ib]), drop_b, "left") + 1 if right is not b else len(ib)
-            return np.concatenate([ia[:keep], e.ids(left + right), ib[skip:]])
-        if span >= 256 and _LETTERS.fullmatch(tail) and _LETTERS.fullmatch(head):
+        left = [m.start() for m in _SAFE.finditer(tail) if m.start() > 0][-2:]
+        right = [m.start() for m in islice((m for m in _SAFE.finditer(head) if m.start() > 0), 2)]
+        if (len(left) == 2 or span >= len(a)) and (len(right) == 2 or span >= len(b)):
+            found = _agreed(e, tail, left if len(left) == 2 else None, ia, head, right if len(right) == 2 else None, ib)
+            if found is not None:
+                return found
+        elif span >= 256 and _LETTERS.fullmatch(tail) and _LETTERS.fullmatch(head):
             found = _join_run(e, ia, len(tail.encode()), ib, len(head.encode()))
             if found is not None:
                 return found
         span *= 2
 
 
+def _agreed(e: Encoder, tail: str, left: list[int] | None, ia: np.ndarray, head: str, right: list[int] | None, ib: np.ndarray) -> np.ndarray | None:
+    """The joined ids if the window agrees with both sides; ``left`` and ``right`` are the outer parts' borders, None for a whole side."""
+    window = e.ids((tail[left[0] :] if left else tail) + (head[: right[1]] if right else head))
+    keep, skip = 0, len(ib)
+    if left:
+        size, edge = len(tail[left[0] :].encode()), len(tail[left[0] : left[1]].encode())
+        back, same = _count_back(e, ia, size), _count(e, window, edge)
+        if back is None or same is None or not np.array_equal(window[:same], ia[len(ia) - back :][:same]):
+            return None
+        keep = len(ia) - back
+    if right:
+        size, edge = len(head[: right[1]].encode()), len(head[right[0] : right[1]].encode())
+        skip, same = _count(e, ib, size), _count_back(e, window, edge)
+        if skip is None or same is None or not np.array_equal(window[len(window) - same :], ib[:skip][max(0, skip - same) :]):
+            return None
+    return np.concatenate([ia[:keep], window, ib[skip:]])
+
+
 def _join_run(e: Encoder, ia: np.ndarray, left_bytes: int, ib: np.ndarray, right_bytes: int) -> np.ndarray | None:
     """Join within one run of letters whose nearest bytes are ``left_bytes`` and ``right_bytes``."""
     k = 4
@@ -138,31 +167,62 @@ def _count_arrow(batches: Iterator[pa.RecordBatch], path: str, keep: list[str])
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*keep, "n_tokens"])
 
 
+def _leaves(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Encoded leaves of long texts, each text cut in one pass: key, h1, h2, leaves, leaf, piece, ids."""
+    e = encoder(path)
+    for batch in batches:
+        texts = batch.column("text")
+        for row in range(batch.num_rows):
+            text = texts[row].as_py()
+            total = -(-len(text) // size)
+            for first in range(0, total, FAN):
+                leaf = np.arange(first, min(total, first + FAN), dtype=np.int32)
+                pieces = [text[i * size : (i + 1) * size] for i in leaf]
+                ids = [e.ids(p) for p in pieces]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                same = pa.array(np.full(len(leaf), row, dtype=np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                columns = [batch.column(c).take(same) for c in ("key", "h1", "h2")]
+                counts = pa.array(np.full(len(leaf), total, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*columns, counts, pa.array(leaf), pa.array(pieces), lists], names=["key", "h1", "h2", "leaves", "leaf", "piece", "ids"])
+
+
 def _join_group(pdf: pd.DataFrame, path: str) -> pd.DataFrame:
-    pdf = pdf.sort_values("leaf")
-    leaves = [(t, np.asarray(i, dtype=np.int32)) for t, i in zip(pdf["piece"], pdf["ids"], strict=True)]
-    return pd.DataFrame({"key": [pdf["key"].iloc[0]], "ids": [join_tree(encoder(path), leaves)]})
+    """One node of the leaves of a text. Rows of equal key and text send equal leaves: each is joined once and counted."""
+    first = pdf["leaf"].min()
+    copies = int(pdf.loc[pdf["leaf"] == first, "copies"].sum())
+    pdf = pdf.drop_duplicates("leaf").sort_values("leaf")
+    nodes = [(t, np.asarray(i, dtype=np.int32)) for t, i in zip(pdf["piece"], pdf["ids"], strict=True)]
+    ids = nodes[0][1] if len(nodes) == 1 else join_tree(encoder(path), nodes)
+    whole = len(pdf) == pdf["leaves"].iloc[0]
+    one = pdf.iloc[[0]][["key", "h1", "h2", "leaves", "leaf"]]
+    # a text that is complete goes on without its characters
+    return one.assign(piece=None if whole else "".join(t for t, _ in nodes), ids=[ids], copies=copies)
 
 
 def encode_corpus(df: DataFrame, key: str, text: str, tokenizer_dir: str = TOKENIZER_DIR, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """(key, ids ARRAY<INT>) of every row; a null or empty text has the empty list.
 
-    Special tokens are ordinary text. The key identifies a long text's leaves, so keys of
-    long texts must be unique and not null; repeated short rows give repeated results. Other columns are ignored.
+    Special tokens are ordinary text. Keys may repeat or be null: the leaves of a long text find each other by key and
+    hashes of the text, so every row keeps its own ids. Other columns are ignored.
     """
     path = f"{tokenizer_dir}/{BYTE_BPE}"
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     short = rows.where(F.col("text").isNull() | (F.length("text") <= leaf_chars)).mapInArrow(lambda it: _encode_arrow(it, path), f"key {kind}, ids array<int>")
-    cuts = F.expr(f"posexplode(transform(sequence(0, (length(text) - 1) div {leaf_chars}), i -> substring(text, i * {leaf_chars} + 1, {leaf_chars})))").alias("leaf", "piece")
-    leaves = (
-        rows.where(F.length("text") > leaf_chars)
-        .select("key", cuts)
-        .select("key", "leaf", "piece", F.col("piece").alias("text"))
-        .repartition("key", "leaf")
-        .mapInArrow(lambda it: _encode_arrow(it, path), f"key {kind}, leaf int, piece string, ids array<int>")
-    )
-    joined = leaves.groupBy("key").applyInPandas(lambda pdf: _join_group(pdf, path), f"key {kind}, ids array<int>")
+    schema = f"key {kind}, h1 bigint, h2 bigint, leaves int, leaf int, piece string, ids array<int>"
+    long = rows.where(F.length("text") > leaf_chars).select("key", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2"), "text")
+    # texts are spread before they are cut, so that files of many long ones do not hold up one task
+    leaves = long.repartition("h1", "h2").mapInArrow(lambda it: _leaves(it, path, leaf_chars), schema).withColumn("copies", F.lit(1))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _join_group(pdf, path)
+
+    nodes = leaves.groupBy("key", "h1", "h2", (F.col("leaf") / F.lit(FAN)).cast("int").alias("node")).applyInPandas(join, f"{schema}, copies int")
+    # a node of the second level is as many leaves as its text has nodes
+    nodes = nodes.withColumn("leaves", F.ceil(F.col("leaves") / F.lit(FAN)).cast("int"))
+    whole = nodes.groupBy("key", "h1", "h2").applyInPandas(join, f"{schema}, copies int")
+    joined = whole.select("key", "ids", F.explode(F.sequence(F.lit(1), "copies"))).select("key", "ids")
     return short.unionByName(joined).withColumnRenamed("key", key)
 
 

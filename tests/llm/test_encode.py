@@ -59,3 +59,21 @@ def test_corpus(spark):
     counts = {r.doc_id: r.n_tokens for r in encode.count_tokens(df.select("doc_id", "text"), "text").collect()}
     assert counts == {k: len(v) for k, v in got.items()}
     assert got[1] == np.array(got[5]).tolist()
+
+
+def test_repeated_and_null_keys_keep_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(encode, "FAN", 3)
+    texts = ["ab c" * 900, "dé. f" * 900, "ab c" * 900, "g1 h" * 900, "字 " * 700]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[2]), (None, texts[3]), (None, texts[4]), (2, texts[0]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    e = encode.encoder(PATH)
+    got = sorted(((r.doc_id, list(r.ids)) for r in encode.encode_corpus(df, "doc_id", "text", leaf_chars=256).collect()), key=repr)
+    assert got == sorted(((k, e.ids(t).tolist() if t else []) for k, t in rows), key=repr)
+
+
+def test_a_text_of_many_nodes(spark):
+    rnd = random.Random(8)
+    text = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 9))) for _ in range(400_000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = encode.encode_corpus(df, "doc_id", "text", leaf_chars=4096).first()
+    assert list(got.ids) == encode.encoder(PATH).ids(text).tolist()
