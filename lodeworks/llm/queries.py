@@ -57,7 +57,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return _judged(spark, sf).select("file_path", F.round("score", 3).alias("score"), "reason")
+    """Score of the forest and reason of each file, and whether it bears a label."""
+    return _judged(spark, sf).select("file_path", F.round("score", 3).alias("score"), "reason", F.col("made").alias("labelled"))
 
 
 def guard_vectors(spark: SparkSession, sf: str) -> DataFrame:
