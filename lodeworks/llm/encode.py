@@ -17,7 +17,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -212,18 +212,20 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer_dir: str = TOKEN
     short = rows.where(F.col("text").isNull() | (F.length("text") <= leaf_chars)).mapInArrow(lambda it: _encode_arrow(it, path), f"key {kind}, ids array<int>")
     schema = f"key {kind}, h1 bigint, h2 bigint, leaves int, leaf int, piece string, ids array<int>"
     long = rows.where(F.length("text") > leaf_chars).select("key", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2"), "text")
-    # texts are spread before they are cut, so that files of many long ones do not hold up one task
-    leaves = long.repartition("h1", "h2").mapInArrow(lambda it: _leaves(it, path, leaf_chars), schema).withColumn("copies", F.lit(1))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _join_group(pdf, path)
+    def leaves(some: DataFrame) -> DataFrame:
+        # texts are spread before they are cut, so that files of many long ones do not hold up one task
+        return some.repartition("h1", "h2").mapInArrow(lambda it: _leaves(it, path, leaf_chars), schema).withColumn("copies", F.lit(1))
 
-    nodes = leaves.groupBy("key", "h1", "h2", (F.col("leaf") / F.lit(FAN)).cast("int").alias("node")).applyInPandas(join, f"{schema}, copies int")
+    def joined(nodes: DataFrame, *by: str | Column) -> DataFrame:
+        return nodes.groupBy("key", "h1", "h2", *by).applyInPandas(lambda pdf: _join_group(pdf, path), f"{schema}, copies int")
+
+    within = F.length("text") <= leaf_chars * FAN
+    nodes = joined(leaves(long.where(~within)), F.floor(F.col("leaf") / F.lit(FAN)).alias("node"))
     # a node of the second level is as many leaves as its text has nodes
     nodes = nodes.withColumn("leaves", F.ceil(F.col("leaves") / F.lit(FAN)).cast("int"))
-    whole = nodes.groupBy("key", "h1", "h2").applyInPandas(join, f"{schema}, copies int")
-    joined = whole.select("key", "ids", F.explode(F.sequence(F.lit(1), "copies"))).select("key", "ids")
-    return short.unionByName(joined).withColumnRenamed("key", key)
+    whole = joined(leaves(long.where(within))).unionByName(joined(nodes)).select("key", "ids", F.explode(F.sequence(F.lit(1), "copies")))
+    return short.unionByName(whole.select("key", "ids")).withColumnRenamed("key", key)
 
 
 def count_tokens(df: DataFrame, text: str, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
