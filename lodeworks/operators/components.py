@@ -25,8 +25,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of all nodes in links (a, b); the component is its smallest node. Nulls and self-links link nothing."""
+def connected_components(links: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(node, component) of all nodes in links (a, b); the component is its smallest node. Nulls and self-links link nothing. Raises if ``max_rounds`` do not suffice."""
     now = cut(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(max_rounds):
@@ -39,4 +39,6 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

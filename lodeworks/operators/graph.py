@@ -151,12 +151,13 @@ def pagerank(pairs: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     return ranks.select("node", (F.col("rank") / F.lit(top)).alias("rank"))
 
 
-def communities(pairs: DataFrame, rounds: int = 20) -> DataFrame:
+def communities(pairs: DataFrame, rounds: int = 500) -> DataFrame:
     """(node, community) by weighted label propagation, deterministic.
 
     pairs: (a, b, weight), undirected, each once. A node takes the label of the highest total
     weight among its neighbours, ties to the smallest; labels are node ids. Every round a hash
-    lets half of the nodes move, so two neighbours do not swap labels for ever. Stops when no node would move.
+    lets half of the nodes move, so two neighbours do not swap labels for ever. Stops when no node would move;
+    if some still would after ``rounds`` it raises, so an unfinished result never comes out.
     """
     w = pairs.where("a is not null and b is not null and a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("w"))
     both = cut(w.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").union(w.select("b", "a", "w")))
@@ -175,6 +176,8 @@ def communities(pairs: DataFrame, rounds: int = 20) -> DataFrame:
         labels = new
         if moving == 0:
             break
+    else:
+        raise RuntimeError(f"labels still move after {rounds} rounds")
     return labels.select("node", F.col("label").alias("community"))
 
 
@@ -232,16 +235,20 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, most: int = 5) -> DataFram
 
     calls: (call_id, callee). At most ``most`` candidates per call, the smallest ids. The fallbacks are equi-joins on what is left.
     """
-    by_name = nodes.select(F.col("id").alias("target_id"), F.col("name").alias("callee"))
+    named = nodes.where("name is not null and id is not null")
 
-    def few(found: DataFrame, how: str) -> DataFrame:
-        order = W.partitionBy("call_id").orderBy("target_id")
-        return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("call_id", "target_id", F.lit(how).alias("how"))
+    def smallest(name: Column, alias: str) -> DataFrame:
+        # a name's smallest ids are found before the join, first under a salt, so a common name is neither a hot group nor a product
+        at = named.select(name.alias(alias), F.col("id").alias("target_id"), F.pmod(F.xxhash64("id"), F.lit(32)).alias("salt"))
+        for group in ([alias, "salt"], [alias]):
+            at = at.withColumn("r", F.row_number().over(W.partitionBy(*group).orderBy("target_id"))).where(F.col("r") <= most)
+        return at.select(alias, "target_id")
 
-    exact = few(calls.join(by_name, "callee"), "exact")
+    by_name = smallest(F.col("name"), "callee")
+    exact = calls.join(by_name, "callee").select("call_id", "target_id", F.lit("exact").alias("how"))
     rest = calls.join(by_name.select("callee"), "callee", "left_anti").withColumn("last", F.element_at(F.split("callee", r"\."), -1))
-    tails = nodes.select(F.col("id").alias("target_id"), F.element_at(F.split("name", r"\."), -1).alias("last"))
-    suffix = few(rest.join(tails, "last"), "suffix")
+    tails = smallest(F.element_at(F.split("name", r"\."), -1), "last")
+    suffix = rest.join(tails, "last").select("call_id", "target_id", F.lit("suffix").alias("how"))
     lost = rest.join(tails.select("last"), "last", "left_anti").select("call_id", F.lit(None).cast("bigint").alias("target_id"), F.lit("placeholder").alias("how"))
     return union_all([exact, suffix, lost])
 
@@ -274,15 +281,16 @@ def symbol_search(nodes: DataFrame, query: str, k: int = 10) -> DataFrame:
 def verify_claims(claims: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Verdict and confidence on claims (claim_id, subject, predicate, object).
 
-    Predicates calls, imports, defines, implements, inherits are looked up as edges, defined_in as path
+    An object of an edge is meant by its whole name or its last part, a path by its end at a slash or by a folder of it. Predicates calls, imports, defines, implements, inherits are looked up as edges, defined_in as path
     of a node. confirmed 0.9 if found, contradicted 0.85 if the subject has other such links, else unverifiable 0.3.
     """
     kinds = F.create_map(*[F.lit(x) for p in {"calls": "CALLS", "imports": "IMPORTS", "defines": "DEFINES", "implements": "IMPLEMENTS", "inherits": "INHERITS", "handles_error": "HANDLES"}.items() for x in p])
     named = nodes.select(F.col("id").alias("source_id"), F.lower("name").alias("subject_l"), F.lower(F.coalesce("file_path", F.lit(""))).alias("path_l"))
+    wanted = F.trim(F.lower(F.coalesce("object", F.lit(""))))
     c = claims.withColumn("subject_l", F.lower("subject")).withColumn("kind", F.try_element_at(kinds, F.col("predicate")))
     ends = edges.select("source_id", "target_id", F.upper("type").alias("kind")).join(nodes.select(F.col("id").alias("target_id"), F.lower("name").alias("object_l")), "target_id").select("source_id", "kind", "object_l")
-    by_edge = c.where("kind is not null").join(named, "subject_l").join(ends, ["source_id", "kind"]).groupBy("claim_id").agg(F.bool_or(F.contains("object_l", F.lower(F.coalesce("object", F.lit(""))))).alias("hit"))
-    by_path = c.where("predicate = 'defined_in'").join(named, "subject_l").groupBy("claim_id").agg(F.bool_or(F.contains("path_l", F.lower(F.coalesce("object", F.lit(""))))).alias("hit"))
+    by_edge = c.where("kind is not null").join(named, "subject_l").join(ends, ["source_id", "kind"]).groupBy("claim_id").agg(F.bool_or((F.col("object_l") == wanted) | (F.element_at(F.split("object_l", r"\.|::"), -1) == wanted)).alias("hit"))
+    by_path = c.where("predicate = 'defined_in'").join(named, "subject_l").groupBy("claim_id").agg(F.bool_or(F.contains(F.concat(F.lit("/"), F.col("path_l"), F.lit("/")), F.concat(F.lit("/"), wanted, F.lit("/")))).alias("hit"))
     found = by_edge.unionByName(by_path)
     verdict = F.when(F.col("hit"), "confirmed").when(~F.col("hit"), "contradicted").otherwise("unverifiable")
     out = claims.join(found, "claim_id", "left").withColumn("verdict", verdict)
@@ -367,8 +375,55 @@ def shared_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.distinct().groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_set("project")), ",").alias("projects"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
+def on_cycles(pairs: DataFrame) -> DataFrame:
+    """(node, component) of all nodes that lie on a cycle of any length (G24): strongly connected components of two nodes or more.
+
+    pairs: (src, dst). Nodes without a link in or without one out are peeled off until none is left; every
+    node then passes on its colour, the smallest id that reaches it, and what its colour reaches backwards
+    within the colour is one component. Each pass settles at least one component of every colour.
+    """
+    spark = pairs.sparkSession
+    left = cut(pairs.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct())
+    kind = pairs.schema["src"].dataType.simpleString()
+    found = []
+    while not left.isEmpty():
+        while True:
+            kept = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            same = kept.count() == left.count()
+            drop_cut(left)
+            left = kept
+            if same:
+                break
+        if left.isEmpty():
+            break
+        colour = cut(left.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("c")))
+        while True:
+            into = left.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
+            new = cut(colour.join(into, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
+            done = new.where("moved").isEmpty()
+            drop_cut(colour)
+            colour = new.select("node", "c")
+            colour.cut_path = new.cut_path
+            if done:
+                break
+        inside = cut(left.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c")))
+        reach = cut(colour.where("node = c").select("node", "c"))
+        front = reach
+        while True:
+            step = front.join(inside, (F.col("node") == F.col("dst")) & (front["c"] == inside["c"])).select(F.col("src").alias("node"), inside["c"].alias("c")).distinct()
+            front = cut(step.join(reach, ["node", "c"], "left_anti"))
+            if front.isEmpty():
+                break
+            reach = cut(reach.unionByName(front))
+        sizes = reach.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
+        found.append(cut(reach.join(sizes, "c", "left_semi").select("node", F.col("c").alias("component"))))
+        gone = reach.select("node")
+        left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    return union_all(found) if found else spark.createDataFrame([], f"node {kind}, component {kind}")
+
+
 def cycles(pairs: DataFrame, max_length: int = 5) -> DataFrame:
-    """Simple cycles up to a length, each once, beginning with its smallest node.
+    """Simple cycles up to a length, each once, beginning with its smallest node (G24); :func:`on_cycles` has no such bound.
 
     Paths grow by equi-joins from their smallest node on, so a path never comes back to a smaller one.
     """

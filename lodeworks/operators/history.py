@@ -117,11 +117,12 @@ def bug_hotspots(commits: DataFrame, as_of: str) -> DataFrame:
 def bug_pairs(commits: DataFrame, messages: int = 5) -> DataFrame:
     """(file_a, file_b, n, messages): pairs in bug fixes and the first messages by commit."""
     fixes = commits.where(_any("message", RELATED_WORDS))
-    pairs = file_pairs(fixes).join(fixes.select("hash", "message"), "hash")
-    order = W.partitionBy("file_a", "file_b").orderBy("hash")
-    pairs = pairs.withColumn("r", F.row_number().over(order))
-    kept = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= messages, F.struct("r", "message")))), lambda s: s["message"])
-    return pairs.groupBy("file_a", "file_b").agg(F.count("*").alias("n"), F.array_join(kept, " | ").alias("messages"))
+    pairs = file_pairs(fixes).select("file_a", "file_b", "hash")
+    counts = pairs.groupBy("file_a", "file_b").agg(F.count("*").alias("n"))
+    # rank limits are pushed below the shuffle, so a task sends at most ``messages`` commits of a pair; messages join those alone
+    first = pairs.withColumn("r", F.row_number().over(W.partitionBy("file_a", "file_b").orderBy("hash"))).where(F.col("r") <= messages)
+    told = first.join(fixes.select("hash", "message"), "hash").groupBy("file_a", "file_b").agg(F.array_sort(F.collect_list(F.struct("r", "message"))).alias("m"))
+    return counts.join(told, ["file_a", "file_b"]).select("file_a", "file_b", "n", F.array_join(F.transform("m", lambda s: s["message"]), " | ").alias("messages"))
 
 
 #: Weights of the relations between files.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeworks.common import remove_path
+from lodeworks.operators.inverted import InvertedIndex
 
 MAX_FILE = 1 << 20
 SAFE_SHARE = 0.5
@@ -116,9 +117,43 @@ def prune(index: DataFrame, disk: DataFrame, safe_share: float = SAFE_SHARE) ->
     return index.join(disk.select("file_path").distinct(), "file_path", "left_semi")
 
 
-def moved(index: DataFrame, old: str, new: str) -> DataFrame:
-    """Rows of a file under its new path; nothing else changes."""
-    return index.withColumn("file_path", F.when(F.col("file_path") == old, F.lit(new)).otherwise(F.col("file_path")))
+def clean_path(path: str | Column) -> Column:
+    """A path with forward slashes and without a leading ``./``."""
+    c = F.col(path) if isinstance(path, str) else path
+    return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"^(?:\./)+", "")
+
+
+def moved(index: DataFrame, moves: DataFrame) -> DataFrame:
+    """Rows of moved files under their new path, with the module and layer that follow from it; all else stays.
+
+    moves: (old_path, new_path). Paths are compared with forward slashes and without a leading ``./``;
+    new paths come out in that form. Of several moves of one file the smallest new path counts.
+    """
+    from lodeworks.operators.chunking import layer_of, module_of
+
+    to = moves.where("old_path is not null and new_path is not null").groupBy(clean_path("old_path").alias("_old")).agg(F.min(clean_path("new_path")).alias("_new"))
+    at = index.join(to, clean_path("file_path") == F.col("_old"), "left")
+    hit = F.col("_new").isNotNull()
+    made = {"file_path": F.col("_new"), "module_name": module_of(F.col("_new")), "layer": layer_of(F.col("_new"))}
+    return at.select(*[F.when(hit, made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in index.columns])
+
+
+def without_files(index: DataFrame, files: DataFrame) -> DataFrame:
+    """The index without the rows of the given files (S16). files: (file_path)."""
+    return index.join(files.select("file_path").distinct(), "file_path", "left_anti")
+
+
+def apply_file_moves(chunks: DataFrame, nodes: DataFrame, full_text: InvertedIndex | None, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Moves files in every layer: chunk rows, graph nodes, and the stored full-text index where one is given.
+
+    Returns the moved chunks and nodes; rows of the full-text index are replaced under their keys, so no text is embedded again.
+    """
+    if full_text is not None:
+        rows = full_text.docs()
+        after = moved(rows, moves)
+        changed = after.join(rows.select(full_text.key, F.col("file_path").alias("_before")), full_text.key).where(~F.col("file_path").eqNullSafe(F.col("_before"))).drop("_before")
+        full_text.add(changed)
+    return moved(chunks, moves), moved(nodes, moves)
 
 
 def drift(disk: DataFrame, index: DataFrame) -> DataFrame:

@@ -42,10 +42,16 @@ def matching_incidents(incidents: DataFrame, symptoms: DataFrame, least: int = 2
 
 
 def root_causes(incidents: DataFrame, symptoms: DataFrame, commits: DataFrame | None = None) -> DataFrame:
-    """(symptom_id, cause, score): causes of like incidents by common words, successful fixes twice."""
+    """(symptom_id, cause, score): causes of like incidents by common words, successful fixes twice; with commits
+    (hash, message) also those whose message shares two words or more with the symptom, as ``commit <hash>`` (R38).
+    """
     m = matching_incidents(incidents.select("incident_id", F.col("symptom").alias("text")), symptoms)
     s = m.join(incidents.select("incident_id", "root_cause", "success"), "incident_id")
-    return s.groupBy("symptom_id", F.col("root_cause").alias("cause")).agg(F.sum(F.col("common") * F.when(F.col("success"), 2).otherwise(1)).alias("score"))
+    known = s.groupBy("symptom_id", F.col("root_cause").alias("cause")).agg(F.sum(F.col("common") * F.when(F.col("success"), 2).otherwise(1)).alias("score"))
+    if commits is None:
+        return known
+    near = matching_incidents(commits.select(F.col("hash").alias("incident_id"), F.col("message").alias("text")), symptoms)
+    return known.unionByName(near.select("symptom_id", F.concat(F.lit("commit "), "incident_id").alias("cause"), F.col("common").alias("score")))
 
 
 def verdicts(anchors: DataFrame, present: DataFrame, key: str) -> DataFrame:

@@ -19,6 +19,10 @@ CYPHER = {
     "cypher_logic": "MATCH (f:Function) WHERE f.name STARTS WITH 'merge' OR (f.name CONTAINS 'rank' AND NOT (f.file_path CONTAINS '/tests/' OR f.file_path IS NULL)) RETURN f.id AS id",
     "cypher_two_hops": "MATCH (a:Class)-[:DEFINES_METHOD]->(m:Method)-[:CALLS]->(b:Function) RETURN a.id AS class, count(DISTINCT b.id) AS functions",
     "cypher_bounded_path": "MATCH (a:Class)-[:DEFINES_METHOD|DEFINES*1..2]->(b) RETURN a.id AS class, count(*) AS paths",
+    "cypher_in": "MATCH (f) WHERE f.name IN ['merge_rank', 'filter', 'load_node'] AND (f:Function OR f:Method) RETURN f.id AS id, f.name AS name",
+    "cypher_regex": "MATCH (f:Function) WHERE f.name =~ '.*[Rr]ank.*' RETURN f.id AS id",
+    "cypher_incoming": "MATCH (b:Function)<-[:CALLS]-(a:Method) RETURN b.id AS id, count(*) AS calls",
+    "cypher_two_patterns": "MATCH (a:Class)-[:DEFINES_METHOD]->(m:Method) MATCH (m)-[:USAGE]->(v) RETURN a.id AS class, count(DISTINCT v.id) AS used",
     "cypher_top": "MATCH (a)-[:CALLS]->(b:Function) RETURN b.id AS id, count(*) AS calls ORDER BY calls DESC, id ASC SKIP 5 LIMIT 10",
 }
 
@@ -209,6 +213,11 @@ ORACLES = {
     "cypher_bounded_path": f"""WITH {_G}, d AS (SELECT id, source_id AS s, target_id AS t FROM e WHERE type IN ('DEFINES_METHOD', 'DEFINES')),
         p AS (SELECT s, t FROM d UNION ALL SELECT x.s, y.t FROM d x JOIN d y ON x.t = y.s AND x.id <> y.id)
         SELECT a.id AS class, count(*) AS paths FROM n a JOIN p ON p.s = a.id JOIN n b ON b.id = p.t WHERE lower(a.label) = 'class' GROUP BY a.id""",
+    "cypher_in": f"""WITH {_G} SELECT id, name FROM n WHERE name IN ('merge_rank', 'filter', 'load_node') AND lower(label) IN ('function', 'method')""",
+    "cypher_regex": f"""WITH {_G} SELECT id FROM n WHERE lower(label) = 'function' AND regexp_full_match(name, '.*[Rr]ank.*')""",
+    "cypher_incoming": f"""WITH {_G} SELECT b.id AS id, count(*) AS calls FROM n a JOIN e ON e.source_id = a.id JOIN n b ON b.id = e.target_id WHERE e.type = 'CALLS' AND lower(a.label) = 'method' AND lower(b.label) = 'function' GROUP BY b.id""",
+    "cypher_two_patterns": f"""WITH {_G} SELECT a.id AS class, count(DISTINCT v.id) AS used FROM n a JOIN e e1 ON e1.source_id = a.id JOIN n m ON m.id = e1.target_id JOIN e e2 ON e2.source_id = m.id JOIN n v ON v.id = e2.target_id
+        WHERE lower(a.label) = 'class' AND lower(m.label) = 'method' AND e1.type = 'DEFINES_METHOD' AND e2.type = 'USAGE' GROUP BY a.id""",
     "cypher_top": f"""WITH {_G} SELECT b.id AS id, count(*) AS calls FROM n a JOIN e ON e.source_id = a.id JOIN n b ON b.id = e.target_id WHERE e.type = 'CALLS' AND lower(b.label) = 'function' GROUP BY b.id ORDER BY calls DESC, id LIMIT 10 OFFSET 5""",
     "graph_stats": f"WITH {_G} SELECT 'node' AS kind, lower(label) AS name, count(*) AS n FROM n GROUP BY ALL UNION ALL SELECT 'edge', lower(type), count(*) FROM e GROUP BY ALL",
     "graph_summary": f"WITH {_G} SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(DISTINCT file_path) FROM n) AS files, (SELECT count(*) FROM e) AS edges",

@@ -21,7 +21,8 @@ def test_drift_and_prune(spark, rows):
     new = spark.createDataFrame([("a", "9", 1)], "file_path string, file_hash string, extra int")
     assert rows(ix.upsert_by_file(index, new), "file_path", "file_hash", "extra") == [("a", "9", 1), ("b", "x", None), ("c", "3", None), ("n", None, None)]
     assert rows(ix.upsert_by_file(index, new.limit(0), spark.createDataFrame([("c",)], "file_path string")), "file_path") == [("a",), ("b",), ("n",)]
-    assert rows(ix.moved(index, "a", "z"), "file_path") == [("b",), ("c",), ("n",), ("z",)]
+    moves = index.sparkSession.createDataFrame([("a", "z"), ("./a", "zz"), (None, "q")], "old_path string, new_path string")
+    assert rows(ix.moved(index, moves), "file_path") == [("b",), ("c",), ("n",), ("z",)]
 
 
 def test_guards(spark):
