@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeworks.common import session_dir, table
+from lodeworks.common import counting_rows, micros_of, session_dir, table
 from lodeworks.functions import text as tx
 from lodeworks.operators import fusion, inverted, lexical, vector
+from lodeworks.operators.vector_index import VectorIndex
 from lodeworks.plans import search
 from lodeworks.queries.base import CHUNKS_SQL, TOKENS, chunk_index, chunks, document_index
 
@@ -158,11 +159,19 @@ def updated_search(spark: SparkSession, sf: str) -> DataFrame:
     return index.lexical(lexical.query_terms(spark, QUESTIONS), "text", 20).withColumnRenamed("chunk_id", "doc_id")
 
 
+def vector_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector of index_guard whose place by id is divisible by 100 asks the stored index of all of them."""
+    rows = table(spark, sf, "index_guard")
+    vec = counting_rows(rows, "id", micros_of(rows, "indexed_at"), vector=F.col("vector")).where("size(vector) = 64 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < 1e30)")
+    index = VectorIndex.build(vec, f"{session_dir(spark)}/vectors-{uuid.uuid4().hex}", "id", "vector")
+    return index.search(vec.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")), 10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lexical_topk, identifier_split, token_savings, vector_knn, vector_knn_per_label, cross_project_search, rrf_three_way, weighted_fusion, bucket_weight, exact_boost_dedupe,
-        substring_search, full_text_search, mmr_rerank, context_search, score_floor, query_kinds, hybrid_search, deep_search, decomposed_search, updated_search,
+        substring_search, full_text_search, mmr_rerank, context_search, score_floor, query_kinds, hybrid_search, deep_search, decomposed_search, updated_search, vector_index_search,
     )
 }
 

@@ -183,3 +183,24 @@ def test_query_set_is_every_hundredth_row(spark, tmp_path):
     for name in ("vector_knn", "vector_knn_per_label", "cross_project_search", "mmr_rerank", "context_search", "score_floor"):
         found = retrieval.QUERIES[f"{name}_set"](spark, str(tmp_path)).select("query_id").distinct().collect()
         assert {r.query_id for r in found} == {str(i) for i in range(100, 801, 100)}, name
+
+
+def test_vector_index(spark, tmp_path):
+    import numpy as np
+
+    from lodeworks.operators.vector_index import VectorIndex
+
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(30, 16))
+    x = np.repeat(centres, 40, axis=0) + 0.3 * rnd.normal(size=(1200, 16))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, (5000, [0.0] * 16), (5001, None), (None, [1.0] * 16)], "id bigint, v array<float>")
+    asks = spark.createDataFrame([(f"{i}", rows[i][1]) for i in range(0, 1200, 10)] + [("zero", [0.0] * 16), ("null", None)], "query_id string, query_vector array<float>")
+    index = VectorIndex.build(df, f"{tmp_path}/v", "id", "v")
+    want = {(r.query_id, r.id) for r in vector.knn(df.where("id is not null"), "id", "v", asks, 5).collect()}
+    exact = index.search(asks, 5, probes=10_000).collect()
+    assert {(r.query_id, r.id) for r in exact} == want and len(exact) == 600
+    near = {(r.query_id, r.id) for r in VectorIndex.open(spark, f"{tmp_path}/v").search(asks, 5, block=50).collect()}
+    assert len(near & want) / len(want) >= 0.9 and len(near) == 600
+    empty = VectorIndex.build(df.limit(0), f"{tmp_path}/w", "id", "v")
+    assert empty.search(asks, 3).count() == 0
