@@ -1,8 +1,8 @@
 """Small syntax trees of source fragments: functions, their ranges and attached comments.
 
-Python is parsed by the standard library where the fragment allows it. Other
-languages, and Python fragments that begin or end in the middle of something, go through
-a lexer that blanks strings and comments; brackets are then matched and each function header becomes a
+Python is parsed by the standard library where the fragment allows it, indented methods too. Other
+languages go through the parser of :mod:`lodeworks.llm.syntax`. Python fragments that begin or end in the middle of something
+go through a lexer that blanks strings and comments; each function header becomes a
 node with its range, its body and the comments attached to it.
 """
 
@@ -13,6 +13,8 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
+from lodeworks.llm.syntax import Parser
+
 LANGUAGES = {
     "py": "python", "pyi": "python", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "ts": "js", "tsx": "js",
     "go": "go", "rs": "rust", "java": "java",
@@ -62,34 +64,8 @@ def _lex(text: str, lang: str) -> tuple[str, list[tuple[int, int]], dict[int, in
     return "".join(out), comments, strings
 
 
-_ID = r"[A-Za-z_$][\w$]*"
-_TYPE = r"[A-Za-z_][\w.]*(?:\s*<[^;{}()=]*>)?(?:\s*\[\s*\])*"
-_HEADER = {
-    "go": re.compile(rf"^[ \t]*func\s*(?:\([^)\n]*\)\s*)?(?P<name>{_ID})\s*(?:\[[^\]\n]*\]\s*)?(?=\()", re.M),
-    "rust": re.compile(rf"^[ \t]*(?:pub(?:\s*\([^)\n]*\))?\s+)?(?:(?:default|const|async|unsafe|extern)\s+)*fn\s+(?P<name>{_ID})", re.M),
-    "js": re.compile(
-        rf"""(?:^|(?<=[;}}]))[ \t]*(?:
-          (?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*(?P<f>{_ID})\s*(?:<[^(){{}}]*>\s*)?(?=\()
-        | (?:export\s+)?(?:const|let|var)\s+(?P<v>{_ID})\s*(?::[^=;\n]+)?=\s*(?:async\s*)?(?:function\b\s*\*?\s*(?:{_ID})?\s*(?=\()|(?:{_ID})\s*=>|(?=\((?:[^()]|\([^()]*\))*\)\s*(?::[^=;{{}}]+)?=>))
-        | (?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*(?:\*[ \t]*)?\#?(?P<m>{_ID})\s*(?:<[^(){{}};]*>\s*)?(?=\()
-        )""",
-        re.M | re.X,
-    ),
-    "java": re.compile(
-        rf"^[ \t]*(?:@[\w.]+(?:\([^()]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^<>{{}}();]*>\s+)?(?:(?P<type>{_TYPE})\s+)?(?P<name>{_ID})\s*(?=\()",
-        re.M,
-    ),
-    "python": re.compile(rf"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>[^\W\d]\w*)[ \t]*(?=[(\[])", re.M),
-}
-#: Words that open a statement or expression before "(" where a header has no introducing keyword; others of the languages' words may name methods.
-_RESERVED = {
-    "js": {"if", "for", "while", "switch", "catch", "with", "function", "case"},
-    "java": {"if", "for", "while", "switch", "catch", "try", "return", "new", "else", "do", "throw", "super", "this", "synchronized", "case", "assert", "void", "import", "class"},
-}
-#: Legal names of JS methods that also stand before "(" in expressions; an arrow may follow there.
-_BEFORE_ARROW = {"return", "throw", "await", "yield", "typeof", "void", "delete", "new", "else", "do", "in", "of", "super"}
+_PYTHON_HEADER = re.compile(rf"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>[^\W\d]\w*)[ \t]*(?=[(\[])", re.M)
 _OPEN, _CLOSE = "([{", ")]}"
-_TO_BODY = re.compile(r"[^;{]*")
 
 
 def _brackets(masked: str) -> dict[int, int]:
@@ -174,50 +150,14 @@ class _Comments:
 
 
 def _braced(text: str, lang: str) -> list[Function]:
+    """The function nodes of the text's tree with the comments above them and at the head of their bodies."""
     masked, spans, _ = _lex(text, lang)
-    comments, pairs = _Comments(text, spans), _brackets(masked)
+    comments = _Comments(text, spans)
     out = []
-    for m in _HEADER[lang].finditer(masked):
-        groups = m.groupdict()
-        name = groups.get("name") or groups.get("f") or groups.get("v") or groups.get("m")
-        bare = groups.get("m") or (name if lang == "java" else None)
-        if not name or bare in _RESERVED.get(lang, ()) and (lang == "java" or m.group().strip() == bare):
-            continue
-        start = m.start() + len(m.group()) - len(m.group().lstrip())
-        paren = masked.find("(", m.end() - 1 if lang != "rust" else m.end())
-        if groups.get("v") and masked[m.end() - 2 : m.end()] == "=>":
-            close = m.end() - 1
-        elif paren < 0:
-            if lang in ("js", "java"):
-                continue
-            close = len(masked)
-        else:
-            close = pairs.get(paren, len(masked))
-        body = _TO_BODY.match(masked, min(close + 1, len(masked))).end()
-        opened = body < len(masked) and masked[body] == "{"
-        rest = masked[close + 1 : body]
-        if groups.get("m") or lang == "java":
-            strict = rest.strip()
-            if lang == "java":
-                known = groups.get("type") not in (None, "return", "new", "else", "throw", "case", "package", "import", "assert")
-                fine = (opened or close >= len(masked) or masked[body : body + 1] == ";" and re.search(r"\b(abstract|native)\b", m.group())) and known and (not strict or strict.startswith(("throws", "[")))
-                if not known and opened and re.match(r"\s*(?:public|private|protected)\b", m.group()):
-                    fine = not strict or strict.startswith("throws")
-            else:
-                fine = opened and (not strict or strict.startswith(":") and not (name in _BEFORE_ARROW and strict.endswith("=>")))
-            if not fine:
-                continue
-        if groups.get("v") and not opened:
-            end = masked.find("\n", close)
-            end = len(masked) if end < 0 else end
-        elif opened:
-            end = min(pairs.get(body, len(masked)) + 1, len(masked))
-        else:
-            end = min(body + 1, len(masked))
-        docs = [comments.above(start)]
-        if opened:
-            docs.append(comments.head(body + 1))
-        out.append(Function(name, start, end, [d for d in docs if d]))
+    for node in Parser(masked, lang).tree().walk():
+        if node.kind == "function":
+            docs = [comments.above(node.start), comments.head(node.body) if node.body >= 0 else ""]
+            out.append(Function(node.name, node.start, node.end, [d for d in docs if d]))
     return _nested(out)
 
 
@@ -232,34 +172,32 @@ def _nested(found: list[Function]) -> list[Function]:
     return found
 
 
-def _dedented(text: str) -> str:
-    """Fragments of methods begin indented; their first line's indent is taken off where all lines have it."""
+def _dedented(text: str) -> tuple[str, int]:
+    """Fragments of methods begin indented: the text without its first line's indent, where all lines have it, and that indent's bytes."""
     first = re.match(r"[ \t]+(?=\S)", text)
     if not first:
-        return text
+        return text, 0
     lead = first.group()
     lines = text.split("\n")
     if all(not x.strip() or x.startswith(lead) for x in lines):
-        return "\n".join(x[len(lead) :] for x in lines)
-    return text
+        return "\n".join(x[len(lead) :] for x in lines), len(lead)
+    return text, 0
 
 
 def _python(text: str) -> list[Function]:
     masked, spans, strings = _lex(text, "python")
     comments = _Comments(text, spans)
-    tree = None
-    flat = _dedented(text)
-    if flat is text:
-        try:
-            tree = ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            tree = None
+    flat, lead = _dedented(text)
+    try:
+        tree = ast.parse(flat)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        tree = None
     if tree is not None:
-        return _python_tree(tree, text, comments)
+        return _python_tree(tree, text, comments, lead)
     # a fragment: headers, and the string or comment that follows each
     out = []
     pairs = _brackets(masked)
-    for m in _HEADER["python"].finditer(masked):
+    for m in _PYTHON_HEADER.finditer(masked):
         start = m.start() + len(m.group()) - len(m.group().lstrip())
         indent = start - m.start()
         paren = masked.find("(", m.end())
@@ -298,14 +236,15 @@ def _defined(tree: ast.AST) -> list[ast.FunctionDef | ast.AsyncFunctionDef]:
     return out
 
 
-def _python_tree(tree: ast.Module, text: str, comments: _Comments) -> list[Function]:
+def _python_tree(tree: ast.Module, text: str, comments: _Comments, lead: int = 0) -> list[Function]:
+    """lead: the bytes by which every line of the text is further in than in the tree."""
     starts = [0]
     for m in re.finditer("\n", text):
         starts.append(m.end())
     lines = text.split("\n")
 
     def offset(line: int, col: int) -> int:
-        return starts[line - 1] + len(lines[line - 1].encode()[:col].decode(errors="ignore"))
+        return starts[line - 1] + len(lines[line - 1].encode()[: col + lead].decode(errors="ignore"))
 
     out = []
     for node in _defined(tree):
@@ -330,7 +269,7 @@ def _python_tree(tree: ast.Module, text: str, comments: _Comments) -> list[Funct
 
 def functions(text: str | None, lang: str | None) -> list[Function]:
     """Functions and methods of a fragment in order of their start; none for null or empty text or an unknown language."""
-    if not text or lang not in _HEADER:
+    if not text or lang not in _LEX:
         return []
     # line ends count as one character from here on, so ranges are those of the text with \n
     text = text.replace("\r\n", "\n").replace("\r", "\n")
