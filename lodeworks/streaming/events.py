@@ -24,15 +24,33 @@ def debounce_sessions(events: DataFrame, ts: str, project: str, path: str, gap:
 class Debounce(StatefulProcessor):
     """Flushes a project's changed files after a quiet gap, at a number of files, or at an age since the first event.
 
-    Input (project, path, ts_ms), output (project, reason, files, n). Time is that of the events.
+    Input (project, path, ts_ms), output (project, reason, files, n). Gaps and ages between events are those of
+    their times. A burst after which no event comes is ended by a timer of the machine's clock, where the
+    state machine runs with :func:`with_timers`; without timers it waits for the next event.
     """
 
     def __init__(self, quiet_ms: int = 500, most: int = 100, age_ms: int = 5000) -> None:
         self.quiet_ms, self.most, self.age_ms = quiet_ms, most, age_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("batch", "first bigint, last bigint, files array<string>")
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        files = sorted(set(self.state.get()[2] or [])) if self.state.exists() else []
+        self.state.clear()
+        yield pd.DataFrame([(key[0], "quiet", files, len(files))] if files else [], columns=["project", "reason", "files", "n"])
+
+    def _wait(self, timerValues, open_: bool) -> None:
+        """One timer, a quiet gap from now, while a burst is open; none in a mode without timers."""
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if now < 0:
+            return
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if open_:
+            self.handle.registerTimer(now + self.quiet_ms)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first, last, files = self.state.get() if self.state.exists() else (None, None, [])
         files = list(files or [])
@@ -58,6 +76,7 @@ class Debounce(StatefulProcessor):
             if len(files) >= self.most:
                 flush("size")
         self.state.update((first, last, files))
+        self._wait(timerValues, bool(files))
         yield pd.DataFrame(out, columns=["project", "reason", "files", "n"])
 
     def close(self) -> None:
@@ -138,6 +157,11 @@ def with_state(stream: DataFrame, key: str, processor: StatefulProcessor, schema
     return stream.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "None")
 
 
+def with_timers(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str | StructType) -> DataFrame:
+    """As :func:`with_state`, with timers of the machine's clock."""
+    return stream.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime")
+
+
 def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 

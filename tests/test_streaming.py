@@ -1,3 +1,4 @@
+import time
 import uuid
 
 import pytest
@@ -35,6 +36,22 @@ def test_debounce(spark, feed):
     assert [(r[1], r[3]) for r in got] == [("quiet", 2), ("quiet", 1), ("age", 13)]
 
 
+def test_the_last_burst_is_ended_by_a_timer(spark, tmp_path):
+    ev.use_rocksdb(spark)
+    (tmp_path / "in").mkdir()
+    schema = "project string, path string, ts_ms bigint"
+    spark.createDataFrame([("p", "a", 0), ("p", "b", 100), ("q", "c", 50)], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = ev.with_timers(spark.readStream.schema(schema).json(str(tmp_path / "in")), "project", ev.Debounce(500, 100, 5000), ev.DEBOUNCE_SCHEMA)
+    q = stream.writeStream.format("memory").queryName("last_burst").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        end = time.time() + 90
+        while time.time() < end and spark.table("last_burst").count() < 2:
+            time.sleep(1)
+        assert sorted(tuple(r) for r in spark.table("last_burst").collect()) == [("p", "quiet", ["a", "b"], 2), ("q", "quiet", ["c"], 1)]
+    finally:
+        q.stop()
+
+
 def test_rate_limit(spark, feed):
     ev.use_rocksdb(spark)
     got = feed("key string, ts_ms bigint", [[("k", 0), ("k", 10), ("k", 20)], [("k", 500), ("k", 1005), ("j", 0)]], lambda s: ev.with_state(s, "key", ev.RateLimit(2), ev.RATE_SCHEMA))
