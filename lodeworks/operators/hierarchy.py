@@ -27,7 +27,7 @@ def parent_links(links: DataFrame) -> DataFrame:
 
     Null endpoints link nothing. A node with several parents keeps the
     smallest parent id as tree parent; how many others it had is in
-    ``other_parents``.
+    ``other_parents``, and :func:`other_parent_links` has the links themselves.
     """
     return (
         links.where("node is not null and parent is not null")
@@ -36,6 +36,12 @@ def parent_links(links: DataFrame) -> DataFrame:
     )
 
 
+def other_parent_links(links: DataFrame) -> DataFrame:
+    """Distinct (tree, node, parent) links that no tree of :func:`hierarchy` follows: those of nodes with several parents but for the smallest."""
+    whole = links.where("node is not null and parent is not null").select("tree", "node", "parent").distinct()
+    return whole.join(parent_links(links).where("other_parents > 0").select("tree", "node", F.col("parent").alias("_kept")), ["tree", "node"]).where("parent <> _kept").drop("_kept")
+
+
 def _double(links: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame]:
     """(ended, endless): nodes whose chain reaches a root with root, depth and
     ancestors, and nodes whose chain never ends with a node ``ptr`` far up the chain
@@ -189,7 +195,7 @@ def _walk_partition(batches: Iterator[pd.DataFrame], with_path: bool, with_roots
         yield frame()
 
 
-def hierarchy(links: DataFrame, with_path: bool = True, max_component: int = MAX_COMPONENT, with_roots: bool = False) -> DataFrame:
+def hierarchy(links: DataFrame, with_path: bool = True, max_component: int = MAX_COMPONENT, with_roots: bool = False, with_descendants: bool = True) -> DataFrame:
     """Full hierarchy of parent-child links.
 
     links: (tree STRING, node STRING, parent STRING), other columns are
@@ -199,7 +205,9 @@ def hierarchy(links: DataFrame, with_path: bool = True, max_component: int = MAX
     ``descendants`` (their number) and ``cycle_edge``. Nodes whose chain enters a
     cycle have root '', depth -1 and null path and descendants; ``cycle_edge``
     marks in each cycle the smallest node, whose parent link closes it.
-    ``with_roots`` adds a row of depth 0 for each node that has children but no parent.
+    ``with_roots`` adds a row of depth 0 for each node that has children but no parent. Without paths and with
+    ``with_descendants=False`` a component beyond ``max_component`` builds no ancestor lists: its roots and depths are
+    those of the doubling, and its ``descendants`` are null.
     """
     one = cut(parent_links(links))
     comp = cut(components(one))
@@ -214,24 +222,28 @@ def hierarchy(links: DataFrame, with_path: bool = True, max_component: int = MAX
     )
     large = comp.join(big, ["tree", "comp"], "left_semi")
     if not large.isEmpty():
-        walked = walked.unionByName(_large(large, with_path, with_roots))
+        walked = walked.unionByName(_large(large, with_path, with_roots, with_path or with_descendants))
     return walked
 
 
-def _large(comp: DataFrame, with_path: bool, with_roots: bool = False) -> DataFrame:
+def _large(comp: DataFrame, with_path: bool, with_roots: bool = False, with_descendants: bool = True) -> DataFrame:
     """Components beyond the bound: root and depth are known from doubling;
     paths by doubling with ancestor lists, descendants by counting ancestors."""
     rooted = comp.where("depth >= 0")
     cyclic = comp.where("depth < 0")
-    anc, _ = _double(rooted.select("tree", "node", "parent"), with_path=True)
+    no_path, no_number = F.lit(None).cast("array<string>"), F.lit(None).cast("bigint")
+    if with_descendants:
+        anc, _ = _double(rooted.select("tree", "node", "parent"), with_path=True)
+    else:
+        anc = rooted.select("tree", "node", F.col("root").alias("ptr"), F.col("depth").alias("dist"), F.array().cast("array<string>").alias("anc"))
     number = anc.select("tree", F.explode("anc").alias("node")).groupBy("tree", "node").agg(F.count("*").alias("descendants"))
-    path = F.concat(F.reverse("anc"), F.array("node")) if with_path else F.lit(None).cast("array<string>")
+    path = F.concat(F.reverse("anc"), F.array("node")) if with_path else no_path
     trees = (
         anc.join(number, ["tree", "node"], "left")
-        .select("tree", "node", F.col("ptr").alias("root"), F.col("dist").cast("int").alias("depth"), path.alias("path"), F.coalesce("descendants", F.lit(0)).alias("descendants"), F.lit(False).alias("cycle_edge"))
+        .select("tree", "node", F.col("ptr").alias("root"), F.col("dist").cast("int").alias("depth"), path.alias("path"), (F.coalesce("descendants", F.lit(0)) if with_descendants else no_number).alias("descendants"), F.lit(False).alias("cycle_edge"))
     )
     lost = cyclic.select(
-        "tree", "node", F.lit("").alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("bigint").alias("descendants"),
+        "tree", "node", F.lit("").alias("root"), F.lit(-1).alias("depth"), no_path.alias("path"), no_number.alias("descendants"),
         (F.col("node") == F.col("comp")).alias("cycle_edge"),
     )
     out = trees.unionByName(lost)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.common import counting_rows, micros_of, table, union_all
-from lodeworks.operators.hierarchy import descendant_pairs, hierarchy, parent_links
+from lodeworks.operators.hierarchy import descendant_pairs, hierarchy, other_parent_links, parent_links
 from lodeworks.operators.references import Children, orphan_report, orphans
 
 #: The types of containment edges, parent to child.
@@ -28,7 +28,7 @@ def containment_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    tree = hierarchy(containment_links(spark, sf), with_path=False)
+    tree = hierarchy(containment_links(spark, sf), with_path=False, with_descendants=False)
     return tree.select(F.col("tree").alias("table_name"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth")
 
 
@@ -55,10 +55,15 @@ def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
 def p3_cycles(spark: SparkSession, sf: str) -> DataFrame:
     """The parent link that closes each cycle."""
     links = containment_links(spark, sf)
-    closing = hierarchy(links, with_path=False).where("cycle_edge").select("tree", "node")
+    closing = hierarchy(links, with_path=False, with_descendants=False).where("cycle_edge").select("tree", "node")
     return parent_links(links).join(closing, ["tree", "node"]).select(F.col("tree").alias("table_name"), F.col("node").alias("node_id"), F.col("parent").alias("parent_id"))
 
 
+def p3_other_parents(spark: SparkSession, sf: str) -> DataFrame:
+    """Parent links beside those the trees follow, of nodes with several parents."""
+    return other_parent_links(containment_links(spark, sf)).select(F.col("tree").alias("table_name"), F.col("node").alias("node_id"), F.col("parent").alias("parent_id"))
+
+
 def reference_parts(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], list[Children]]:
     nodes, files = table(spark, sf, "graph_nodes"), table(spark, sf, "file_listing")
     edges, rows = table(spark, sf, "graph_edges"), table(spark, sf, "fts5_index")
@@ -130,7 +135,7 @@ _P4 = f"""
     FROM kid LEFT JOIN target ON target.ref = kid.ref
     WHERE kid.ref IS NOT NULL AND (target.ref IS NULL OR gone OR since > tm))"""
 
-QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_nodes": p3_nodes, "p3_descendants": p3_descendants, "p3_cycles": p3_cycles, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_nodes": p3_nodes, "p3_descendants": p3_descendants, "p3_cycles": p3_cycles, "p3_other_parents": p3_other_parents, "p4_found": p4_found, "p4_report": p4_report}
 
 ORACLES = {
     "p3_found": f"""WITH RECURSIVE {_LINKS}
@@ -158,6 +163,10 @@ ORACLES = {
     "p3_cycles": f"""WITH RECURSIVE {_LINKS},
         ring AS (SELECT tree, node, min(anc) AS low FROM up WHERE (tree, anc, node) IN (SELECT tree, node, anc FROM up) GROUP BY ALL)
         SELECT link.tree AS table_name, link.node AS node_id, link.parent AS parent_id FROM ring JOIN link ON link.tree = ring.tree AND link.node = ring.node WHERE ring.low = ring.node""",
+    "p3_other_parents": f"""WITH RECURSIVE {_LINKS},
+        whole AS (SELECT DISTINCT CAST(r.t AS VARCHAR) AS node, CAST(r.s AS VARCHAR) AS parent FROM edge
+          WHERE r.k IN ('contains_folder', 'contains_package', 'contains_file', 'defines', 'defines_method') AND r.s IS NOT NULL AND r.t IS NOT NULL)
+        SELECT 'graph_edges' AS table_name, w.node AS node_id, w.parent AS parent_id FROM whole w JOIN link l ON l.tree = 'graph_edges' AND l.node = w.node WHERE w.parent <> l.parent""",
     "p4_found": f"WITH {_P4} SELECT table_name, field, record_id, period FROM orphan",
     "p4_report": f"WITH {_P4} SELECT table_name, field, period, reason, count(*) AS orphans FROM orphan GROUP BY ALL",
 }

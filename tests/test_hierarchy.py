@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lodeworks.operators.hierarchy import descendant_pairs, hierarchy, parent_links
+from lodeworks.operators.hierarchy import descendant_pairs, hierarchy, other_parent_links, parent_links
 from lodeworks.queries.links import QUERIES, containment_links
 
 DATA = "/root/testdata/sf0.001"
@@ -64,6 +64,17 @@ def test_several_parents_keep_the_smallest(spark):
     check(spark, [("t", "b", "z"), ("t", "b", "a"), ("t", "c", "b")])
 
 
+def test_no_parent_link_is_lost(spark, rows):
+    links = spark.createDataFrame([("t", "b", "z"), ("t", "b", "a"), ("t", "b", "z"), ("t", "c", "b"), ("t", "b", None), ("u", "b", "y")], SCHEMA)
+    assert rows(other_parent_links(links)) == [("t", "b", "z")]
+
+
+def test_roots_and_depths_of_large_components_need_no_ancestor_lists(spark, rows):
+    links = spark.createDataFrame([("t", f"n{i}", f"n{i - 1}") for i in range(1, 40)] + [("t", "x", "y"), ("t", "y", "x"), ("t", "z", "x")], SCHEMA)
+    want = rows(hierarchy(links, with_path=False), "node", "root", "depth", "cycle_edge")
+    assert rows(hierarchy(links, with_path=False, with_descendants=False, max_component=2), "node", "root", "depth", "cycle_edge") == want
+
+
 def test_empty_and_clashing_columns(spark):
     assert hierarchy(spark.createDataFrame([], SCHEMA)).count() == 0
     odd = spark.createDataFrame([("t", "b", "a", "r", 9, "x")], SCHEMA + ", root string, depth int, comp string")
