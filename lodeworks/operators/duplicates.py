@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.common import cut
 from lodeworks.functions.text import TOKEN_SPLIT
+from lodeworks.operators.bags import bag_join
 from lodeworks.operators.components import connected_components
 
 
@@ -49,8 +50,17 @@ def normalised_tokens(text: str | Column, keywords: str = "def class return if e
     c = F.col(text) if isinstance(text, str) else text
     bare = F.regexp_replace(F.regexp_replace(c, r"(?m)(#|//)[^\n]*$", " "), r"\"[^\"\n]*\"|'[^'\n]*'", " STR ")
     toks = F.regexp_extract_all(bare, F.lit(r"([A-Za-z_]\w*|\d[\w.]*|[^\s\w])"), F.lit(1))
-    kw = F.array(*[F.lit(k) for k in keywords.split()])
-    return F.transform(toks, lambda t: F.when(t == "STR", t).when(F.array_contains(kw, F.lower(t)), F.lower(t)).when(t.rlike(r"^[A-Za-z_]"), "ID").when(t.rlike(r"^\d"), "NUM").otherwise(t))
+    kw = keywords.split()
+
+    def within(t: Column, first: str, last: str) -> Column:
+        """Whether the first character lies between these; a comparison costs less than a pattern."""
+        return (t >= first) & (t < chr(ord(last) + 1))
+
+    def bare_token(t: Column) -> Column:
+        word = F.when(t == "STR", t).when(F.lower(t).isin(kw), F.lower(t)).otherwise("ID")
+        return F.when(within(t, "a", "z") | within(t, "A", "Z") | within(t, "_", "_"), word).when(within(t, "0", "9"), "NUM").otherwise(t)
+
+    return F.transform(toks, bare_token)
 
 
 def multiset(tokens: Column) -> Column:
@@ -62,6 +72,16 @@ def multiset(tokens: Column) -> Column:
     return once(tokens, bag)
 
 
+def counted(tokens: Column) -> Column:
+    """A bag as its distinct tokens, hashed and in order, with their numbers."""
+
+    def runs(h: Column, d: Column) -> Column:
+        end = lambda i: F.when(i + 1 < F.size(d), F.array_position(h, F.get(d, i + 1))).otherwise(F.size(h) + 1)
+        return F.transform(d, lambda x, i: F.struct(x.alias("x"), (end(i) - F.array_position(h, x)).alias("c")))
+
+    return once(F.sort_array(F.transform(tokens, lambda x: F.xxhash64(x))), lambda h: once(F.array_distinct(h), lambda d: runs(h, d)))
+
+
 def similarity_join(sets: DataFrame, key: str, features: str, threshold: float) -> DataFrame:
     """(a, b, jaccard), a < b: all pairs of rows whose sets have at least that Jaccard similarity.
 
@@ -116,8 +136,9 @@ def symbol_duplicates(symbols: DataFrame, key: str, text: str, threshold: float
 
     Functions with equal bags are one class, represented by their smallest key.
     """
-    reps = _bags(symbols, key, text, min_tokens).groupBy("f").agg(F.min("k").alias("k")).select("k", "f")
-    return similarity_join(reps, "k", "f", threshold)
+    # cut before the filter, which would make the tokens a second time
+    bags = cut(symbols.select(F.col(key).alias("k"), once(normalised_tokens(text), lambda t: F.when(F.size(t) >= min_tokens, counted(t))).alias("f")))
+    return bag_join(bags.where("f is not null").groupBy("f").agg(F.min("k").alias("k")), "k", "f", threshold)
 
 
 def symbol_classes(symbols: DataFrame, key: str, text: str, min_tokens: int = 24) -> DataFrame:

@@ -1,4 +1,8 @@
 import random
+import time
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from lodeworks.operators import duplicates as d
 
@@ -34,6 +38,38 @@ def test_similarity_join_is_exact(spark):
         assert got == want
 
 
+def test_bag_join_is_exact(spark):
+    from lodeworks.operators.bags import bag_join
+
+    rnd = random.Random(6)
+    # a few tokens in nearly every bag, many rare ones, copies with few changes, one crowd of a size and one very large bag
+    common, rare = list("()[].,=+-"), [f"r{i}" for i in range(90)]
+    bags = {}
+    for i in range(90):
+        base = rnd.choices(common, k=rnd.randint(1, 60)) + rnd.sample(rare, rnd.randint(0, 12))
+        bags[f"k{i}"] = base
+        bags[f"k{i}+"] = base[: max(1, len(base) - rnd.randint(0, 6))] + rnd.choices(common + rare, k=rnd.randint(0, 4))
+    bags |= {f"same{i}": ["x"] * 40 + rnd.choices(common, k=4) for i in range(30)}
+    bags |= {"empty": [], "large": ["x"] * 70_000 + ["y"], "large+": ["x"] * 69_990 + ["z"] * 30, "half": ["x"] * 4, "odd": ["x"] * 8}
+    df = spark.createDataFrame(list(bags.items()), "k string, t array<string>").select("k", d.counted(F.col("t")).alias("f"))
+    counts = {k: Counter(v) for k, v in bags.items()}
+    for t, block, against in ((0.5, 7, 20), (0.85, 4096, 65_536), (0.85, 5, 11), (1.0, 9, 30)):
+        got = sorted((r.a, r.b, r.jaccard) for r in bag_join(df, "k", "f", t, block, against).collect())
+        want = [(a, b, round((counts[a] & counts[b]).total() / (counts[a] | counts[b]).total(), 6)) for a in bags for b in bags if a < b and bags[a] and bags[b]]
+        assert got == sorted(x for x in want if x[2] >= t)
+
+
+def test_bags_over_few_tokens_list_no_pairs_to_be_dropped(spark):
+    rnd = random.Random(5)
+    tokens = "( ) [ ] . , = + - return if for x 1".split()
+    rows = [(f"f{i}", " ".join(rnd.choices(tokens, k=60))) for i in range(7000)]
+    s = spark.createDataFrame(rows, "k string, t string")
+    began = time.time()
+    assert 0 < d.symbol_duplicates(s, "k", "t").count() < 2000
+    # about 3 s; through shared features a minute and more
+    assert time.time() - began < 30
+
+
 def test_near_duplicates(spark):
     words = [f"w{i}" for i in range(60)]
     text = " ".join(words)
