@@ -16,9 +16,13 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeworks.common import cut
@@ -195,9 +199,7 @@ def is_constant(path: str | None, text: str, reading: Reading | None = None) ->
     return head.count("\n") < 4 and not re.search(r"[^\s]", _DATA_TOKEN.sub("", body))
 
 
-#: At most so many rows of either label train the forest, taken by the hash of their paths.
-TRAIN_ROWS = 10_000
-TREES, DEPTH, SEED = 64, 9, 42
+TREES, DEPTH, BINS, FOLDS, SEED = 64, 9, 64, 5, 42
 DOUBTFUL, THRESHOLD = 0.2, 0.5
 
 _DESCRIBED = "file_path string, has_text boolean, made boolean, copied boolean, vendored boolean, made_path boolean, content string, x array<double>"
@@ -222,58 +224,117 @@ def describe(df: DataFrame, key: str, path: str, text: str) -> DataFrame:
     return rows.mapInPandas(_describe, f"key {kind}, {_DESCRIBED}")
 
 
-def _fit(described: DataFrame):
-    """(forest, threshold), or None without both labels. The bounded sample comes to the driver.
+def _edges(rows: DataFrame) -> list[list[float]]:
+    """For each feature of all rows, the bounds between at most ``BINS`` bins of like number; values count with four digits."""
+    x = F.col("x")
+    scale = F.pow(F.lit(10.0), 3 - F.floor(F.log10("x")))
+    each = rows.select(F.posexplode("x").alias("i", "x")).select("i", F.when(x > 0, F.round(x * scale) / scale).otherwise(x).alias("x")).groupBy("i", "x").agg(F.count("*").alias("n"))
+    feature = W.partitionBy("i")
+    upto = feature.orderBy("x")
+    share = F.ceil(F.sum("n").over(upto) * BINS / F.sum("n").over(feature))
+    cells = each.select("i", "x", F.when(F.count("*").over(feature) <= BINS, F.row_number().over(upto)).otherwise(share).alias("cell"))
+    bounds = cells.select("i", ((F.lag("x").over(upto) + x) / 2).alias("e"), (F.lag("cell").over(upto) < F.col("cell")).alias("new")).where("new")
+    out: list[list[float]] = [[] for _ in FEATURES]
+    for r in bounds.orderBy("i", "e").collect():
+        out[r["i"]].append(r["e"])
+    return out
 
-    Not all generated files bear a notice, so the unlabelled rows hide some. A first forest shows them: it is
-    trained on four fifths of the labelled rows, and the mean score of the held-out fifth estimates what a generated
-    file scores. Unlabelled rows that score more than ``DOUBTFUL`` of it teach nothing in the second forest, which judges.
-    Its threshold is the one that errs least on held-out rows of both labels under a forest that did not see them.
-    """
+
+def _binned(edges: list[list[float]]):
+    """The features as the numbers of their bins, so that the forest need not draw rows to find its splits."""
+
+    @F.pandas_udf("array<double>")
+    def bins(x: pd.Series) -> pd.Series:
+        values = np.array(x.tolist(), dtype=float).reshape(-1, len(FEATURES))
+        return pd.Series(list(np.column_stack([np.searchsorted(e, values[:, i], side="right") for i, e in enumerate(edges)]).astype(float)))
+
+    return bins("x")
+
+
+def _grow(rows: DataFrame, n: int):
+    """A forest of all of these n rows, the same wherever they lie."""
     from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    # Spark finds splits on a sample of the square of maxBins; at this number on all rows. There are BINS values only
+    most = max(BINS, math.isqrt(n) + 1)
+    forest = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=2, maxBins=most, seed=SEED)
+    order = rows.repartition(min(200, math.ceil(n / 5000)), "h").sortWithinPartitions("h", "file_path", "x")
+    return forest.fit(order.select("label", array_to_vector("x").alias("v")))
+
+
+def _grow_without_each(rows: DataFrame, pos: Counter, neg: Counter) -> list:
+    """For each fold the forest of all other rows, grown side by side. pos, neg: rows of either label by fold."""
+    total = pos.total() + neg.total()
+    with ThreadPool(FOLDS) as pool:
+        grow = inheritable_thread_target(rows.sparkSession)(lambda i: _grow(rows.where(F.col("fold") != i), total - pos[i] - neg[i]))
+        return pool.map(grow, range(FOLDS))
+
+
+def _scores(rows: DataFrame, models: list) -> DataFrame:
+    """rows with ``each``: the scores of all models."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    spark = described.sparkSession
+    kept = rows.columns
+    out = rows.withColumn("v", array_to_vector("x"))
+    for i, model in enumerate(models):
+        out = model.transform(out).withColumn(f"s{i}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    return out.select(*kept, F.array(*[f"s{i}" for i in range(len(models))]).alias("each"))
+
+
+def _counts(rows: DataFrame) -> tuple[Counter, Counter]:
+    """Numbers of labelled and of other rows by fold."""
+    pos, neg = Counter(), Counter()
+    for r in rows.groupBy("label", "fold").agg(F.count("*").alias("n")).collect():
+        (pos if r["label"] else neg)[r["fold"]] = r["n"]
+    return pos, neg
+
+
+def _fit(described: DataFrame):
+    """(forest, threshold, bounds of bins), or None without both labels. All rows take part; only counts and bounds come to the driver.
+
+    Not all generated files bear a notice, so the unlabelled rows hide some. First forests show them: each is
+    trained without a fifth of the rows and scores that fifth, as a row that teaches that it is not generated scores low. The mean score of the labelled rows
+    estimates what a generated file scores. Unlabelled rows that score more than ``DOUBTFUL`` of it teach nothing in the last forest, which judges.
+    Its threshold is the one that errs least on all rows left, of both labels, each again under a forest that did not see it.
+    """
     usable = described.where("has_text and not copied and not vendored and content is not null")
-    sample = []
-    for label in (True, False):
-        part = usable.where(F.col("made") == label).select("file_path", "x", F.xxhash64("file_path").alias("h"))
-        sample.append(part.orderBy("h", "file_path").limit(TRAIN_ROWS).collect())
-    pos, neg = ([(r["h"], r["x"]) for r in rows] for rows in sample)
-    if min(len(pos), len(neg)) < 2:
+    # copies of a text lie in one fold, so that no forest knows what it scores
+    fold = F.pmod(F.xxhash64("content"), F.lit(FOLDS))
+    rows = usable.select(F.col("made").cast("double").alias("label"), "file_path", F.xxhash64("file_path").alias("h"), fold.alias("fold"), "x")
+    pos, neg = _counts(rows)
+    if min(pos.total(), neg.total()) < 2:
         return None
-    forest = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=2, maxBins=64, seed=SEED)
-
-    def fit(pos: list, neg: list):
-        rows = [(label, x) for label, part in ((1.0, pos), (0.0, neg)) for _, x in part]
-        return forest.fit(spark.createDataFrame(rows, "label double, x array<double>").withColumn("v", array_to_vector("x")))
-
-    def score(model, rows: list) -> list[float]:
-        own = spark.createDataFrame([(x,) for _, x in rows], "x array<double>").withColumn("v", array_to_vector("x"))
-        return [r[0] for r in model.transform(own).select(vector_to_array("probability")[1]).collect()]
-
-    def fifth(rows: list) -> tuple[list, list]:
-        return [r for r in rows if r[0] % 5 != 0], [r for r in rows if r[0] % 5 == 0]
-
-    enough = len(pos) >= 10
-    seen, held = fifth(pos) if enough else (pos, [])
-    first = fit(seen, neg)
-    usual = sum(score(first, held or pos)) / len(held or pos)
-    sure = [r for r, p in zip(neg, score(first, neg), strict=True) if p <= DOUBTFUL * usual]
-    if len(sure) < 2:
-        return first, THRESHOLD
-    seen_neg, held_neg = fifth(sure)
-    if not held or not held_neg or len(seen_neg) < 2:
-        return fit(pos, sure), THRESHOLD
-    blind = fit(seen, seen_neg)
-    return fit(pos, sure), least_wrong(score(blind, held), score(blind, held_neg))
-
-
-def least_wrong(pos: list[float], neg: list[float]) -> float:
-    """The threshold from 0.2 to 0.8 that misjudges the smallest share of either label; of equal ones the middle."""
-    grid = [0.2 + 0.01 * i for i in range(61)]
-    wrong = [sum(p < t for p in pos) / len(pos) + sum(p >= t for p in neg) / len(neg) for t in grid]
-    best = [t for t, w in zip(grid, wrong, strict=True) if w <= min(wrong) + 1e-12]
+    edges = _edges(rows)
+    rows = cut(rows.withColumn("x", _binned(edges)))
+    enough = pos.total() >= 10 and all(min(pos.total() - pos[i], neg.total() - neg[i]) >= 2 for i in range(FOLDS))
+    first = _grow_without_each(rows, pos, neg) if enough else [_grow(rows, pos.total() + neg.total())]
+    own = F.get("each", F.col("fold") if enough else F.lit(0))
+    scored = cut(_scores(rows, first).withColumn("score", own).drop("each"))
+    # whole numbers, so that the order of the rows does not count
+    usual = scored.where("label = 1").agg(F.sum(F.round(F.col("score") * 10**9).cast("bigint"))).first()[0] / 10**9 / pos.total()
+    sure = scored.where((F.col("label") == 1) | (F.col("score") <= DOUBTFUL * usual)).drop("score")
+    _, clear = _counts(sure)
+    if clear.total() < 2:
+        return _grow(rows, pos.total() + neg.total()), THRESHOLD, edges
+    last = _grow(sure, pos.total() + clear.total())
+    if not enough or any(clear.total() - clear[i] < 2 for i in range(FOLDS)):
+        return last, THRESHOLD, edges
+    blind = _grow_without_each(sure, pos, clear)
+    judged = _scores(sure, blind).withColumn("score", F.get("each", "fold"))
+    below = judged.groupBy("label").agg(*[F.sum((F.col("score") < t).cast("bigint")).alias(f"t{i}") for i, t in enumerate(GRID)]).collect()
+    found = {r["label"]: [r[f"t{i}"] for i in range(len(GRID))] for r in below}
+    return last, least_wrong(found[1.0], pos.total(), found[0.0], clear.total()), edges
+
+
+#: Thresholds that come into question.
+GRID = [0.2 + 0.01 * i for i in range(61)]
+
+
+def least_wrong(missed: list[int], pos: int, passed: list[int], neg: int) -> float:
+    """The threshold of ``GRID`` that misjudges the smallest share of either label; of equal ones the middle. missed, passed: how many of the pos and neg rows score less than each."""
+    wrong = [m / pos + (neg - p) / neg for m, p in zip(missed, passed, strict=True)]
+    best = [t for t, w in zip(GRID, wrong, strict=True) if w <= min(wrong) + 1e-12]
     return best[len(best) // 2]
 
 
@@ -294,8 +355,8 @@ def not_written_by_hand(described: DataFrame) -> DataFrame:
     if fitted is None:
         scored = code.withColumn("score", F.col("made").cast("double"))
     else:
-        model, threshold = fitted
-        scored = model.transform(code.withColumn("v", array_to_vector("x"))).withColumn("score", vector_to_array("probability")[1])
+        model, threshold, edges = fitted
+        scored = model.transform(code.withColumn("v", array_to_vector(_binned(edges)))).withColumn("score", vector_to_array("probability")[1])
     origin = code.where("(vendored or copied) and content is not null").select("content").distinct().withColumn("known", F.lit(True))
     judged = scored.join(origin, "content", "left")
     reason = F.expr(f"""case

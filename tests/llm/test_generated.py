@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from lodeworks.llm import generated as g
 
@@ -76,3 +78,29 @@ def test_without_labels_and_without_rows(spark):
     found = g.not_written_by_hand(g.describe(spark.createDataFrame(rows, SCHEMA), "id", "p", "t"))
     assert [(r.key, r.reason) for r in found.collect()] == [("b", "vendored")]
     assert g.not_written_by_hand(g.describe(spark.createDataFrame([], SCHEMA), "id", "p", "t")).count() == 0
+
+
+def test_every_row_teaches(spark):
+    # what the labelled rows of the highest hashes show, no others do
+    kind = F.when(F.col("id") >= 11_500, 3.0).otherwise(F.when(F.row_number().over(Window.partitionBy(F.col("id") >= 11_500).orderBy(F.xxhash64("file_path"))) > 10_000, 5.0).otherwise(1.0))
+    rows = spark.range(14_500).withColumn("file_path", F.concat(F.lit("p/"), F.col("id"), F.lit(".py"))).withColumn("kind", kind)
+    rows = rows.unionByName(spark.createDataFrame([(20_000, "q/a.py", 5.0), (20_001, "q/b.py", 1.0), (20_002, "q/c.py", 3.0)], "id bigint, file_path string, kind double"))
+    x = F.array_repeat("kind", len(g.FEATURES))
+    made = (F.col("id") < 11_500).alias("made")
+    no = F.lit(False)
+    described = rows.select(F.col("id").cast("string").alias("key"), "file_path", F.lit(True).alias("has_text"), made, no.alias("copied"), no.alias("vendored"), no.alias("made_path"), F.col("file_path").alias("content"), x.alias("x"))
+    found = {r.key for r in g.not_written_by_hand(described).collect()}
+    assert {"20000", "20001"} <= found and "20002" not in found and len(found) == 11_502
+
+
+def test_bounds_and_threshold_come_from_all_rows(spark):
+    width = len(g.FEATURES)
+    rows = spark.range(6400).select(F.concat(F.array(F.col("id") + 1.0, F.lit(7.0), (F.col("id") % 3).cast("double")), F.array_repeat(F.lit(0.0), width - 3)).alias("x"))
+    edges = g._edges(rows)
+    assert edges[0] == [100 * i + 0.5 for i in range(1, 64)] and edges[1] == [] and edges[2] == [0.5, 1.5]
+    assert edges == g._edges(rows.repartition(7))
+    binned = rows.select(g._binned(edges).alias("x")).groupBy(F.col("x")[0]).count().collect()
+    assert sorted(tuple(r) for r in binned) == [(float(i), 100) for i in range(64)]
+    pos, neg = [0.6, 0.7, 0.9], [0.0, 0.1, 0.45]
+    below = [[sum(s < t for s in part) for t in g.GRID] for part in (pos, neg)]
+    assert g.least_wrong(below[0], 3, below[1], 3) == g.GRID[33]  # of 0.46 to 0.59
