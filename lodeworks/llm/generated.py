@@ -16,11 +16,9 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -260,15 +258,19 @@ def _grow(rows: DataFrame, n: int):
     most = max(BINS, math.isqrt(n) + 1)
     forest = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=2, maxBins=most, seed=SEED)
     order = rows.repartition(min(200, math.ceil(n / 5000)), "h").sortWithinPartitions("h", "file_path", "x")
-    return forest.fit(order.select("label", array_to_vector("x").alias("v")))
+    # with its kind named, the label needs no pass of its own to count its values
+    label = F.col("label").alias("label", metadata={"ml_attr": {"type": "binary"}})
+    return forest.fit(order.select(label, array_to_vector("x").alias("v")))
 
 
 def _grow_without_each(rows: DataFrame, pos: Counter, neg: Counter) -> list:
-    """For each fold the forest of all other rows, grown side by side. pos, neg: rows of either label by fold."""
+    """For each fold the forest of all other rows. pos, neg: rows of either label by fold.
+
+    One after another: every level of a forest makes broadcasts, each of which begins with a buffer of
+    ``spark.broadcast.blockSize`` (4 MB) in the driver, and those of several forests at once make its heap grow.
+    """
     total = pos.total() + neg.total()
-    with ThreadPool(FOLDS) as pool:
-        grow = inheritable_thread_target(rows.sparkSession)(lambda i: _grow(rows.where(F.col("fold") != i), total - pos[i] - neg[i]))
-        return pool.map(grow, range(FOLDS))
+    return [_grow(rows.where(F.col("fold") != i), total - pos[i] - neg[i]) for i in range(FOLDS)]
 
 
 def _scores(rows: DataFrame, models: list) -> DataFrame:

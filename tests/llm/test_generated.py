@@ -1,4 +1,6 @@
 import random
+import threading
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -104,3 +106,24 @@ def test_bounds_and_threshold_come_from_all_rows(spark):
     pos, neg = [0.6, 0.7, 0.9], [0.0, 0.1, 0.45]
     below = [[sum(s < t for s in part) for t in g.GRID] for part in (pos, neg)]
     assert g.least_wrong(below[0], 3, below[1], 3) == g.GRID[33]  # of 0.46 to 0.59
+
+
+def test_forests_grow_one_after_another(spark, monkeypatch):
+    # several at once took more than the driver's memory
+    lock, now, most, sizes = threading.Lock(), 0, 0, []
+
+    def grow(rows, n):
+        nonlocal now, most
+        with lock:
+            now += 1
+            most = max(most, now)
+        sizes.append((rows.count(), n))
+        time.sleep(0.2)
+        with lock:
+            now -= 1
+        return n
+
+    monkeypatch.setattr(g, "_grow", grow)
+    rows = spark.range(30).select((F.col("id") % 3 == 0).cast("double").alias("label"), (F.col("id") % g.FOLDS).alias("fold"))
+    assert g._grow_without_each(rows, *g._counts(rows)) == [24] * g.FOLDS
+    assert most == 1 and sizes == [(24, 24)] * g.FOLDS
